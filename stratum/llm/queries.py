@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": tokens.op2_token_counts}
+    return {
+        "op2_token_counts": tokens.op2_token_counts,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op8_quality_classifier": quality.op8_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
