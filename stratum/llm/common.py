@@ -101,7 +101,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = durable(small)
-        now = edges.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0x3FFFFFF)), F.sum(F.xxhash64("v", "u").bitwiseAND(0x3FFFFFF))).first()
         if now == mark:
             break
         mark = now

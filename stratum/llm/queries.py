@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokens
+from . import jaccard_join, packing, quality, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op8_quality_classifier": quality.op8_quality_classifier,
+        "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_ngram_jaccard_join": jaccard_join.SQL}
