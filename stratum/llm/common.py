@@ -111,6 +111,47 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     )
 
 
+def grouped(texts: list[str], size: int):
+    group, n = [], 0
+    for text in texts:
+        group.append(text)
+        n += len(text)
+        if n > size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
+_powers: list[np.ndarray] = []
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least ``n``."""
+    if not _powers or len(_powers[0]) < n:
+        base = 0x5851F42D4C957F2D
+        size = max(n, 1 << 16)
+        _powers.clear()
+        for x in (base, pow(base, -1, 1 << 64)):
+            each = np.full(size, x, np.uint64)
+            each[0] = 1
+            _powers.append(np.cumprod(each, dtype=np.uint64))
+    return _powers[0], _powers[1]
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: differences of prefix sums of byte * base^place, moved to place 0 and mixed."""
+    up, down = _power_table(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def pool_adjacent(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     """Weighted least squares fit of a non-decreasing sequence."""
     out: list[list[float]] = []

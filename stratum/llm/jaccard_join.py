@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, durable, importable, string_column, table
+from .common import byte_hashes, components, durable, grouped, importable, string_column, table
 
 WORDS = 5
 PERCENT = 80
@@ -45,7 +45,6 @@ FRAGMENTS = 8
 COMMON = 1 << 17
 #: Most ids that a broadcast may hold; beyond, the join is shuffled.
 BROADCAST = 1 << 20
-CACHED = 400_000
 #: Partners of a node in a round of step 2, and most such rounds.
 PARTNERS = 12
 ROUNDS = 3
@@ -53,37 +52,46 @@ ROUNDS = 3
 CHUNK = 64
 
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_space = np.zeros(256, bool)
+_space[[32, *range(9, 14)]] = True
 
+def raw_shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the hashes (uint64) of its shingles, with repetition and in their order.
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    One pass over the bytes of all texts.
+    """
+    raw = [x.encode("utf-8", "surrogatepass").lower() for x in texts]  # of bytes: A-Z only
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    blank = _space[data]
+    turns = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = turns[::2], turns[1::2]
+    h = byte_hashes(data, starts, ends)
+    with np.errstate(over="ignore"):
 
-        if len(self) > CACHED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        def windows(size: int, first: int, last: int) -> np.ndarray:
+            out = np.full(max(0, last - first - size + 1), size, np.uint64)
+            for k in range(size):
+                out *= np.uint64(0x2545F4914F6CDD1D)
+                out += h[first + k : first + k + len(out)] * _odd[k % len(_odd)]
+                out ^= out >> np.uint64(32)
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(29)
+            return out
 
+        whole = windows(words, 0, len(h))
+        edges = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
+        out = []
+        for first, last in zip(edges, edges[1:]):
+            n = last - first
+            out.append(whole[first : last - words + 1] if n >= words else windows(n, first, last) if n else whole[:0])
+    return out
 
-_hashes = _Hashes()
 
-
-def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes (uint64) of the text's shingles."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII only: A-Z and the six white space bytes
-    n = len(found)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, n)
-    with np.errstate(over="ignore"):
-        size = min(n, words)
-        out = np.full(n - size + 1, size, np.uint64)
-        for k in range(size):
-            out = out * np.uint64(0x2545F4914F6CDD1D) + h[k : n - size + 1 + k] * _odd[k % len(_odd)]
-            out ^= out >> np.uint64(32)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(29)
-    return np.unique(out)
+def shingle_sets(texts: list[str], words: int = WORDS, size: int = 1 << 19):
+    """Sorted distinct shingle hashes of each text, texts of about ``size`` characters at a time."""
+    for group in grouped(texts, size):
+        for x in raw_shingles(group, words):
+            yield np.unique(x)
 
 
 def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON) -> np.ndarray:
@@ -92,7 +100,7 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
     Every partition counts its shingles in blocks and hands over a bounded
     summary. The table sets an order only; any table gives the same result.
     """
-    block = 1 << 21
+    block, cells = 1 << 21, 1 << 20
 
     def summarise(batches):
         held, n = [], 0
@@ -100,8 +108,13 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
 
         def merge():
             nonlocal names, counts, held, n
-            x, c = np.unique(np.concatenate(held), return_counts=True)
-            x, c = x[c > 1], c[c > 1]
+            x = np.concatenate(held)
+            place = (x >> np.uint64(44)).astype(np.int64)
+            often = np.bincount(place, minlength=cells)
+            # few repeated shingles are in cells that are not fuller than chance makes them
+            full = max(4, 2 * len(x) // cells + 6)
+            x, c = np.unique(x[often[place] >= full], return_counts=True)
+            x, c = x[c > 2], c[c > 2]
             both, at = np.unique(np.concatenate([names, x]), return_inverse=True)
             total = np.bincount(at, np.concatenate([counts, c]), len(both)).astype(np.int64)
             if len(both) > 4 * size:
@@ -110,10 +123,10 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
             names, counts, held, n = both, total, [], 0
 
         for batch in batches:
-            for value in string_column(batch, text):
-                x = shingle_hashes(value, words)
-                held.append(x)
-                n += len(x)
+            for group in grouped(string_column(batch, text), 1 << 19):
+                x = raw_shingles(group, words)
+                held += x
+                n += sum(map(len, x))
                 if n > block:
                     merge()
         if held:
@@ -135,21 +148,24 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
     return top.column("x").to_numpy().astype(np.int64).view(np.uint64)[::-1].copy()
 
 
+def set_id(x: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(x.tobytes(), len(x)) - (1 << 63)
+
+
 def shingle_prefixes(docs: DataFrame, common: np.ndarray, *, key: str, text: str, words: int, percent: int) -> DataFrame:
     """(key, sid, n, prefix): the set's id and size, and its prefix where this task meets the set first."""
     shared = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable").astype(np.int64)))
 
     def cut(batches):
-        import xxhash
-
         names, rank = shared.value
         seen: set[int] = set()
         for batch in batches:
             sids, sizes, prefixes = [], [], []
-            for value in string_column(batch, text):
-                x = shingle_hashes(value, words)
+            for x in shingle_sets(string_column(batch, text), words):
                 n = len(x)
-                sid = xxhash.xxh3_64_intdigest(x.tobytes(), n) - (1 << 63)
+                sid = set_id(x)
                 sids.append(sid)
                 sizes.append(n)
                 if not n or sid in seen:
@@ -209,8 +225,10 @@ def set_fragments(docs: DataFrame, *, key: str, text: str, words: int, fragments
         edges = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64)
         for batch in batches:
             sids, parts, members = [], [], []
-            for sid, value in zip(batch.column("sid").to_pylist(), string_column(batch, text)):
-                for part, x in enumerate(np.split(y := shingle_hashes(value, words), np.searchsorted(y, edges))):
+            for sid, y in zip(batch.column("sid").to_pylist(), shingle_sets(string_column(batch, text), words)):
+                if set_id(y) != sid:  # another text under an equal key
+                    continue
+                for part, x in enumerate(np.split(y, np.searchsorted(y, edges))):
                     if len(x):
                         sids.append(sid)
                         parts.append(part)
@@ -234,7 +252,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (
         pairs.join(left, "a")
         .join(right, ["b", "part"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("_ma", "_mb")).cast("long").alias("c"))
+        .select("a", "b", "na", "nb", "part", F.size(F.array_intersect("_ma", "_mb")).cast("long").alias("c"))
+        .groupBy("a", "b", "na", "nb", "part")
+        .agg(F.max("c").alias("c"))  # equal rows bring a fragment twice
         .groupBy("a", "b", "na", "nb")
         .agg(F.sum("c").alias("c"))
         .where(F.lit(100) * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
@@ -242,6 +262,25 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _beyond(n, percent: int):
+    """Members of a set of n that are not in its prefix."""
+    return F.ceil(percent * n / 100) - 1
+
+
+def bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, na, nb): those that may reach the threshold.
+
+    prefixes: (sid, tokens), the members of the prefix that others share. An
+    overlap of c in the prefixes leaves at most the rest of one set besides.
+    """
+    left = prefixes.select(F.col("sid").alias("a"), F.col("tokens").alias("_ta"))
+    right = prefixes.select(F.col("sid").alias("b"), F.col("tokens").alias("_tb"))
+    na, nb = F.col("na"), F.col("nb")
+    most = F.size(F.array_intersect("_ta", "_tb")) + F.greatest(_beyond(na, percent), _beyond(nb, percent))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(most >= F.ceil(percent * (na + nb) / (100 + percent))).select("a", "b", "na", "nb")
+
+
 def _open_lists(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
     """(token, sid, n, head, class) of the lists that hold more than one class."""
     if classes is None:
@@ -346,13 +385,18 @@ def jaccard_classes(
         .sortWithinPartitions("token", "sid")
         .mapInArrow(_shared_postings, "token long, sid long, n long, head boolean")
     )
-    nodes = durable(postings.select("sid").distinct())
-    owners = rows.where("n > 0").groupBy("sid").agg(F.min(key).alias(key))
-    few = nodes.count() <= BROADCAST
-    wanted = durable(owners.join(nodes, "sid"))
-    chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
-    # equal keys can bring other texts along: the set decides
-    sets = durable(set_fragments(chosen, key=key, text=text, words=words).dropDuplicates(["sid", "part"]))
+    prefixes = durable(postings.groupBy("sid").agg(F.collect_list("token").alias("tokens")))  # no longer than a prefix
+    owners = durable(rows.where("n > 0").groupBy("sid").agg(F.min(key).alias(key)).join(prefixes.select("sid"), "sid"))
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """The links among pairs; sets are made again from the texts of these nodes."""
+        pairs = durable(pairs)
+        nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        wanted = durable(owners.join(nodes, "sid"))
+        few = wanted.count() <= BROADCAST
+        chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
+        return durable(linked(pairs, durable(set_fragments(chosen, key=key, text=text, words=words)), percent))
+
     listed = postings.groupBy("token").agg(F.count("*").alias("_df"))
     hubs = durable(postings.join(listed, "token").groupBy("sid").agg((F.sum(F.log2("_df")) / F.first("n")).alias("hub")))
     found, classes, step, before = None, None, 0, None
@@ -360,13 +404,13 @@ def jaccard_classes(
         lists = durable(_open_lists(postings, classes))
         size = lists.count()
         last = step > ROUNDS or (before is not None and size > 0.8 * before)
-        if step == 0:
-            pairs = _star(lists, hubs, percent)
+        if last:
+            pairs = _rest(lists, percent)
         else:
-            pairs = durable(_rest(lists, percent)) if last else _neighbours(lists, percent, step)
-        links = durable(linked(pairs, sets, percent))
+            pairs = bounded(_neighbours(lists, percent, step) if step else _star(lists, hubs, percent), prefixes, percent)
+        links = decided(pairs)
         if report is not None:
-            report[step] = (size, pairs.count(), links.count())
+            report[step] = (size, links.count())
         found = links if found is None else found.union(links)
         classes = durable(components(spark, found))
         if last:

@@ -167,18 +167,18 @@ def cut_pieces(
 ) -> DataFrame:
     """Pieces of every document, with their rank among those of one length in their partition."""
     schema = T.StructType([docs.schema[key], *PIECES.fields, *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
-    end = np.asarray([END], "<u4").tobytes()
+    end = np.asarray([END], "<u4")
 
     def cut(batches):
         units, dealt, ranks = worker(path, False), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for at, value in enumerate(string_column(batch, text)):
-                ids = units.of(value) + end
-                n, start, piece = len(ids) // 4, 0, 0
+            for at, ids in enumerate(units.of_many(string_column(batch, text))):
+                ids = np.append(ids, end)
+                n, start, piece = len(ids), 0, 0
                 while start < n:
                     size = min(n, n % capacity or capacity) if start == 0 else capacity
-                    part = ids[4 * start : 4 * (start + size)]
+                    part = ids[start : start + size].tobytes()
                     rows.append((at, piece, start, size, zlib.crc32(part), dealt, int(ranks[size]), part))
                     ranks[size] += 1
                     start, piece = start + size, piece + 1

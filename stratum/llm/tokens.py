@@ -5,39 +5,52 @@ cut; a cut lies before an ASCII space that follows a character which is white
 space under no definition. Byte-level BPE never merges across such a cut, so a
 text's ids are the concatenated ids of its units.
 
-Tier one is a table of frequent units and their lengths, gathered by bounded
-per-partition summaries over all documents and broadcast (at most
-``FREQUENT`` entries of at most ``UNIT`` characters). Tier two is a bounded
-cache in each Python worker, filled by the tokenizer itself. Units are never
-shuffled; only the bounded summaries are.
+Units are found and hashed (64 bits, and the length) with numpy over the bytes
+of many texts at once and looked up in an open-addressing table of arrays.
+Tier one of it holds frequent units, gathered by bounded per-partition
+summaries over all documents and broadcast (at most ``FREQUENT`` entries of at
+most ``UNIT`` bytes). Tier two is what the tokenizer adds in each Python
+worker, up to ``CACHED`` entries; then the table starts again from tier one.
+Units are never shuffled; only the bounded summaries are.
 
 Null text counts as empty (0 tokens). Rows keep their duplicates. Special
-strings inside a text are handled by the tokenizer (one id).
+strings inside a text are handled by the tokenizer (one id). Very long texts
+are taken in slices.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, string_column, table
+from .common import byte_hashes, grouped, importable, string_column, table
 
 FREQUENT = 65_536
 SUMMARY = 8_192
 UNIT = 48
-CACHED = 500_000
+CACHED = 1_500_000
 SLICE = 1 << 20
+GROUP = 1 << 16
 LIMIT = 1024
 
 _cut = re.compile(r"(?<=\S)(?= )")
-#: Letters, then marks that always begin a pre-token of their own at a unit's end.
-_tail = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|]+)", re.S)
+#: A space after one of these is no cut.
+_before = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_ascii_before = [x for x in _before if x.isascii()]
+#: Sets the hashes of units without a space before them apart.
+_ODD = np.uint64(0x8A91A6D40BF42041)
+
+
+def is_plain(text: str) -> bool:
+    """Whether every space in the text is a cut and a character follows it."""
+    return not (
+        text[:1] == " " or text[-1:] == " " or any(x in text for x in (_ascii_before if text.isascii() else _before))
+    )
 
 
 def slices(text: str, size: int = SLICE):
@@ -53,57 +66,199 @@ def slices(text: str, size: int = SLICE):
         at = to
 
 
+class Table:
+    """An open-addressing map from 64-bit hashes to (offset, number) of ids, for whole arrays of hashes."""
+
+    def __init__(self, size: int = 1 << 17):
+        self.count = 0
+        self.keys, self.where = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry numbers, -1 where a hash is new."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = (h & mask).astype(np.int64)
+        out = self.where[at]
+        open_ = np.flatnonzero((self.keys[at] != h) & (out >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & int(mask)
+            i = at[open_]
+            out[open_] = self.where[i]
+            open_ = open_[(self.keys[i] != h[open_]) & (self.where[i] >= 0)]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct new hashes become the next entries."""
+        if 2 * (self.count + len(h)) > len(self.keys):
+            keys, where = self.keys, self.where
+            size = len(keys)
+            while 2 * (self.count + len(h)) > size:
+                size *= 2
+            self.keys, self.where = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            full = where >= 0
+            self._place(keys[full], where[full])
+        self._place(h, np.arange(self.count, self.count + len(h), dtype=np.int32))
+        self.count += len(h)
+
+    def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.where[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.where[at[won]] = h[won], entry[won]
+            left = np.ones(len(h), bool)
+            left[won] = False
+            h, entry, at = h[left], entry[left], (at[left] + 1) & mask
+
+
 class Units:
-    """What is known of units in this worker: their ids as little-endian 32-bit bytes, or their number of ids.
+    """Ids of units, or their number, in this worker.
 
-    ``first`` stays for good; what the tokenizer adds goes when it outgrows ``CACHED``.
+    ``first`` (hashes, numbers of ids) stays for good when only numbers are asked for.
     """
 
-    def __init__(self, path: str, counts: bool, first: dict | None = None):
+    def __init__(self, path: str, counts: bool, first: tuple[np.ndarray, np.ndarray] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.counts, self.first = counts, first or {}
-        self.known = dict(self.first)
-        self.join = sum if counts else b"".join
-
-    def encode(self, texts: list[str]) -> list:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [len(x.ids) if self.counts else np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def of(self, text: str):
-        """The ids, or their number, of a whole text."""
-        if any(x in text for x in self.special):
-            return self.encode([text])[0]
-        out = []
-        for part in slices(text):
-            units = _cut.split(part)
-            self.learn(units)
-            out.append(self.join(map(self.known.__getitem__, units)))
-        return self.join(out)
-
-    def learn(self, units: list[str]) -> None:
-        """Encode new units; one of letters and end marks is put together from its two parts."""
-        missing = set(units).difference(self.known)
-        if missing and len(self.known) > len(self.first) + CACHED:
-            self.known = dict(self.first)
-            missing = set(units).difference(self.known)
-        if not missing:
-            return
-        known = self.known
-        split = {u: m.groups() for u in missing if (m := _tail.fullmatch(u))}
-        need = list({x for pair in split.values() for x in pair if x not in known} | missing.difference(split))
-        known.update(zip(need, self.encode(need)))
-        for u, (a, b) in split.items():
-            known[u] = known[a] + known[b]
+        self.counts, self.first = counts, first
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes of each id: a character of a byte-level token stands for one byte
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        self._start()
+
+    def _start(self) -> None:
+        self.table, self.used = Table(), 0
+        self.number, self.offset = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.pool = np.zeros(1 << 18, "<u4")
+        if self.first is not None:
+            self._enter(self.first[0], self.first[1], None)
+        self.base = self.table.count
+
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray, ids: np.ndarray | None) -> None:
+        at = self.table.count
+        self.table.add(hashes)
+        self.number = _room(self.number, at, numbers)
+        if ids is not None:
+            self.offset = _room(self.offset, at, self.used + np.cumsum(numbers) - numbers)
+            self.pool = _room(self.pool, self.used, ids)
+            self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of a space and a piece, and how many each has.
+
+        They are encoded in one text; ids end where units do, so the byte
+        lengths of ids tell the units apart.
+        """
+        ids, numbers = [], []
+        for at in range(0, len(pieces), 256):
+            part = pieces[at : at + 256]
+            got = self.encode([" " + " ".join(part)])[0]
+            ends = np.cumsum([(len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass"))) + 1 for x in part])
+            ids.append(got)
+            numbers.append(np.diff(np.searchsorted(np.cumsum(self.sizes[got]), ends) + 1, prepend=0))
+        return (np.concatenate(ids), np.concatenate(numbers)) if ids else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def of_many(self, texts: list[str]) -> list:
+        """The ids (arrays), or their number, of whole texts; equal ones are looked up once."""
+        once: dict = dict.fromkeys(texts)
+        plain = []
+        for text in once:
+            if any(x in text for x in self.special):
+                once[text] = self._value(self.encode([text])[0])
+            elif len(text) > SLICE or not is_plain(text):
+                got = [self.of_slice(x) for x in slices(text)]
+                once[text] = sum(got) if self.counts else np.concatenate(got)
+            else:
+                plain.append(text)
+        for group in grouped(plain, GROUP):
+            once.update(zip(group, self.of_plain(group)))
+        return [once[x] for x in texts]
+
+    def _value(self, ids: np.ndarray):
+        return len(ids) if self.counts else ids
+
+    def of_slice(self, text: str):
+        """Of a part of a text between cuts, of any form: plain stretches by the table, others by the tokenizer."""
+        got = []
+        for spaced, units in _runs(_cut.split(text)):
+            # a plain stretch goes without its first space, which stands in for the space before a text's second unit
+            got += self.of_plain(["".join(units)[1:]], odd=False) if spaced else [self._value(x) for x in self.encode(["".join(units)])]
+        return sum(got) if self.counts else np.concatenate(got)
+
+    def of_plain(self, texts: list[str], odd: bool = True) -> list:
+        """Of plain texts. Without ``odd``, their first unit has a space before it as well."""
+        data = np.frombuffer(b" ".join([*(x.encode("utf-8", "surrogatepass") for x in texts), b""]), np.uint8)
+        ends = np.flatnonzero(data == 32)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        h = byte_hashes(data, starts, ends)
+        last = np.cumsum([x.count(" ") + 1 for x in texts])
+        first = np.concatenate([[0], last[:-1]])
+        if odd:
+            h[first] ^= _ODD
+        entry = self.table.find(h)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            if self.table.count - self.base > CACHED:
+                self._start()
+                entry, new = self.table.find(h), np.arange(len(h))
+                new = new[entry < 0]
+            _, pick = np.unique(h[new], return_index=True)
+            self._learn(data, starts, ends, h, new[pick], set(first.tolist()) if odd else set())
+            entry[new] = self.table.find(h[new])
+        number = self.number[entry]
+        total = np.cumsum(number, dtype=np.int64)
+        to = total[last - 1]
+        if self.counts:
+            return np.diff(to, prepend=0).tolist()
+        ids = self.pool[np.repeat(self.offset[entry] - total + number, number) + np.arange(total[-1])]
+        return np.split(ids, to[:-1])
+
+    def _learn(self, data, starts, ends, h, new, odd: set[int]) -> None:
+        raw = data.tobytes()
+        spaced = [i for i in new.tolist() if i not in odd]
+        alone = [i for i in new.tolist() if i in odd]
+        names = lambda some: [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+        if spaced:
+            ids, numbers = self.encode_spaced(names(spaced))
+            self._enter(h[spaced], numbers, None if self.counts else ids)
+        if alone:
+            each = self.encode(names(alone))
+            self._enter(h[alone], np.array([len(x) for x in each]), None if self.counts else np.concatenate(each))
+
+
+def _room(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """The array with ``values`` at ``at``, made larger where they need it."""
+    if at + len(values) > len(array):
+        grown = np.zeros(max(2 * len(array), at + len(values)), array.dtype)
+        grown[:at] = array[:at]
+        array = grown
+    array[at : at + len(values)] = values
+    return array
+
+
+def _runs(units: list[str]):
+    """Stretches of units that are a space and more, or are not."""
+    kinds = [len(u) > 1 and u[0] == " " and u[1] != " " and not u[-1].isspace() for u in units]
+    at = 0
+    for to in range(1, len(units) + 1):
+        if to == len(units) or kinds[to] != kinds[at]:
+            yield kinds[at], units[at:to]
+            at = to
 
 
 _held: dict[tuple[str, bool], Units] = {}
 
 
-def worker(path: str, counts: bool, first: dict | None = None) -> Units:
+def worker(path: str, counts: bool, first: tuple[np.ndarray, np.ndarray] | None = None) -> Units:
     """The units of this Python worker, kept between tasks as long as ``first`` is the same object."""
     held = _held.get((path, counts))
     if held is None or (first is not None and held.first is not first):
@@ -111,30 +266,56 @@ def worker(path: str, counts: bool, first: dict | None = None) -> Units:
     return held
 
 
-def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the most frequent units of all documents, at most ``size``.
+def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and token counts of the most frequent units of all documents, at most ``size``.
 
-    Each partition keeps a bounded counter (when it outgrows 16 times
-    ``SUMMARY`` its rarer half goes) and hands over its ``SUMMARY`` largest
-    counts; which units these are affects only speed.
+    Each partition counts its units by hash in blocks, keeps a bounded number
+    of them, and hands over its ``SUMMARY`` most frequent; which units these
+    are affects only speed.
     """
 
     def summarise(batches):
-        seen: Counter = Counter()
+        names, counts, spelt, held, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}, [], 0
+
+        def merge():
+            nonlocal names, counts, spelt, held, n
+            h = np.concatenate([x for x, _, _, _ in held])
+            both, at = np.unique(np.concatenate([names, h]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([counts, np.ones(len(h), np.int64)]), len(both)).astype(np.int64)
+            top = np.argsort(-total, kind="stable")[: 4 * SUMMARY]
+            names, counts = both[top], total[top]
+            wanted = np.sort(names)
+            for x, data, starts, ends in held:
+                known = wanted[np.minimum(np.searchsorted(wanted, x), len(wanted) - 1)] == x
+                _, pick = np.unique(x[known], return_index=True)
+                for i in np.flatnonzero(known)[pick].tolist():
+                    if x[i] not in spelt:
+                        spelt[x[i]] = data[starts[i] : ends[i]].tobytes()
+            spelt = {k: spelt[k] for k in names}
+            held, n = [], 0
+
         for batch in batches:
-            for value in string_column(batch, text):
-                for part in slices(value):
-                    seen.update(_cut.split(part))
-                if len(seen) > 16 * SUMMARY:
-                    seen = Counter(dict(seen.most_common(8 * SUMMARY)))
-        top = [(u, n) for u, n in seen.most_common(SUMMARY) if n > 1 and len(u) <= UNIT]
+            for group in grouped([x for x in string_column(batch, text) if len(x) <= SLICE and is_plain(x)], GROUP):
+                data = np.frombuffer(b" ".join(x.encode("utf-8", "surrogatepass") for x in group), np.uint8)
+                gaps = np.flatnonzero(data == 32)
+                starts, ends = gaps[:-1] + 1, gaps[1:]
+                some = (ends > starts) & (ends - starts <= UNIT)
+                starts, ends = starts[some], ends[some]
+                held.append((byte_hashes(data, starts, ends), data, starts, ends))
+                n += len(starts)
+                if n > 1 << 20:
+                    merge()
+        if held:
+            merge()
+        top = np.argsort(-counts, kind="stable")[:SUMMARY]
+        top = top[counts[top] > 1]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"]
+            [pa.array([spelt[names[i]] for i in top], pa.binary()), pa.array(counts[top], pa.int64())], ["unit", "n"]
         )
 
     top = (
         docs.select(text)
-        .mapInArrow(summarise, "unit string, n long")
+        .mapInArrow(summarise, "unit binary, n long")
         .groupBy("unit")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "unit")
@@ -142,8 +323,12 @@ def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = F
         .collect()
     )
     units = Units(path, counts=True)
-    names = [r["unit"] for r in top if not any(x in r["unit"] for x in units.special)]
-    return dict(zip(names, units.encode(names)))
+    names = [bytes(r["unit"]).decode("utf-8", "surrogatepass") for r in top]
+    names = [x for x in names if not x[-1].isspace() and not any(y in x for y in units.special)]
+    data = np.frombuffer(b" ".join(x.encode("utf-8", "surrogatepass") for x in [*names, ""]), np.uint8)
+    ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) + 1 for x in names], dtype=np.int64) - 1
+    hashes = byte_hashes(data, np.concatenate([[0], ends[:-1] + 1])[: len(ends)], ends)
+    return hashes, units.encode_spaced(names)[1]
 
 
 def count_tokens(
@@ -159,7 +344,7 @@ def count_tokens(
         units = worker(path, True, shared.value)
         for batch in batches:
             texts = string_column(batch, text)
-            n = [units.of(x) for x in texts]
+            n = units.of_many(texts)
             size = [len(x.encode("utf-8", "surrogatepass")) for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
