@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,6 +166,22 @@ def pool_adjacent(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.repeat([m for _, m, _ in out], [n for _, _, n in out])
 
 
+def pieces(batches, rows: int = 1024):
+    """Record batches cut to at most ``rows``, so that few texts are Python strings at a time.
+
+    At the end of a task freed memory goes back to the system: a worker that
+    waits for another task keeps no more than its caches.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def string_column(batch, name: str) -> list[str]:
     """Texts of an Arrow batch as Python strings; null is empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

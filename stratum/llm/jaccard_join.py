@@ -15,8 +15,9 @@ so links inside a class that is already known are not counted again:
 1. each node is compared with the most central node (by the lengths of its
    lists) of the list that most of its prefix shares, and links are united
    into classes;
-2. while it settles lists, nodes of lists that still hold two classes are
-   compared with a few others of other classes, taken in shuffled order;
+2. where the centres link with less than a quarter of the nodes, nodes of lists
+   that still hold two classes are compared with a few others of other
+   classes, taken in shuffled order, while that finds links;
 3. all pairs of different classes that are left in any list and whose prefixes
    overlap enough are compared.
 
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_hashes, components, durable, grouped, importable, string_column, table
+from .common import byte_hashes, components, durable, grouped, importable, pieces, string_column, table
 
 WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
 COMMON = 1 << 17
 #: Most ids that a broadcast may hold; beyond, the join is shuffled.
-BROADCAST = 1 << 20
+BROADCAST = 1 << 19
 #: Partners of a node in a round of step 2, and most such rounds.
 PARTNERS = 12
 ROUNDS = 3
@@ -122,7 +123,7 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
                 both, total = both[top], total[top]
             names, counts, held, n = both, total, [], 0
 
-        for batch in batches:
+        for batch in pieces(batches):
             for group in grouped(string_column(batch, text), 1 << 19):
                 x = raw_shingles(group, words)
                 held += x
@@ -161,7 +162,7 @@ def shingle_prefixes(docs: DataFrame, common: np.ndarray, *, key: str, text: str
     def cut(batches):
         names, rank = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             sids, sizes, prefixes = [], [], []
             for x in shingle_sets(string_column(batch, text), words):
                 n = len(x)
@@ -171,7 +172,7 @@ def shingle_prefixes(docs: DataFrame, common: np.ndarray, *, key: str, text: str
                 if not n or sid in seen:
                     prefixes.append(None)
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(sid)
                 if len(names):
@@ -191,39 +192,12 @@ def shingle_prefixes(docs: DataFrame, common: np.ndarray, *, key: str, text: str
     )
 
 
-def _shared_postings(batches):
-    """Of rows sorted by (token, sid): each row once, of tokens that two sids have."""
-    held = None  # the last row, and whether it has met another sid of its token
-    for batch in batches:
-        t, s, n, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        met = np.zeros(len(t), bool)
-        if held is not None:
-            t, s, n, h = (np.concatenate([[x], c]) for x, c in zip(held[:4], (t, s, n, h)))
-            met = np.concatenate([[held[4]], met])
-        if not len(t):
-            continue
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-        t, s, n, h, met = t[new], s[new], n[new], h[new].astype(bool), met[new]
-        same = t[1:] == t[:-1]
-        met[1:] |= same
-        met[:-1] |= same
-        held = (t[-1], s[-1], n[-1], h[-1], met[-1])
-        keep = met[:-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in (t, s, n, h)], ["token", "sid", "n", "head"])
-    if held is not None and held[4]:
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([x], pa.int64()) for x in held[:3]), pa.array([bool(held[3])])], ["token", "sid", "n", "head"]
-        )
-
-
 def set_fragments(docs: DataFrame, *, key: str, text: str, words: int, fragments: int = FRAGMENTS) -> DataFrame:
     """(sid, part, members): every set of (key, text, sid), cut by hash ranges; empty fragments are left out."""
 
     def cut(batches):
         edges = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64)
-        for batch in batches:
+        for batch in pieces(batches):
             sids, parts, members = [], [], []
             for sid, y in zip(batch.column("sid").to_pylist(), shingle_sets(string_column(batch, text), words)):
                 if set_id(y) != sid:  # another text under an equal key
@@ -245,16 +219,19 @@ def _close(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb): (a, b) at the threshold, by summed overlaps of fragments."""
-    left = sets.select(F.col("sid").alias("a"), "part", F.col("members").alias("_ma"))
-    right = sets.select(F.col("sid").alias("b"), "part", F.col("members").alias("_mb"))
+def linked(pairs: DataFrame, fragments: DataFrame, percent: int, few: bool) -> DataFrame:
+    """Of pairs (a, b, na, nb): (a, b) at the threshold, by summed overlaps of fragments (sid, part, members).
+
+    A fragment goes to each of its node's pairs; both sides of a pair meet in
+    one shuffle. The pairs are broadcast when they are few.
+    """
+    side = F.explode(F.array(F.struct(F.col("a").alias("sid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("sid"), F.lit(1).alias("side"))))
+    ends = pairs.select("a", "b", "na", "nb", side.alias("_e")).select("_e.sid", "_e.side", "a", "b", "na", "nb")
+    sent = fragments.join(F.broadcast(ends) if few else ends, "sid")
+    of = lambda k: F.first(F.when(F.col("side") == k, F.col("members")), ignorenulls=True)  # noqa: E731  equal rows bring a fragment twice
+    met = sent.groupBy("a", "b", "na", "nb", "part").agg(of(0).alias("_x"), of(1).alias("_y"))
     return (
-        pairs.join(left, "a")
-        .join(right, ["b", "part"])
-        .select("a", "b", "na", "nb", "part", F.size(F.array_intersect("_ma", "_mb")).cast("long").alias("c"))
-        .groupBy("a", "b", "na", "nb", "part")
-        .agg(F.max("c").alias("c"))  # equal rows bring a fragment twice
+        met.select("a", "b", "na", "nb", F.coalesce(F.size(F.array_intersect("_x", "_y")), F.lit(0)).cast("long").alias("c"))
         .groupBy("a", "b", "na", "nb")
         .agg(F.sum("c").alias("c"))
         .where(F.lit(100) * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
@@ -267,37 +244,47 @@ def _beyond(n, percent: int):
     return F.ceil(percent * n / 100) - 1
 
 
-def bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _least(na, nb, percent: int):
+    """The overlap that sets of these sizes need."""
+    return F.ceil(percent * (na + nb) / (100 + percent))
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, na, nb): those that may reach the threshold.
 
-    prefixes: (sid, tokens), the members of the prefix that others share. An
-    overlap of c in the prefixes leaves at most the rest of one set besides.
+    An overlap of c in the prefixes leaves at most the rest of one set besides.
     """
-    left = prefixes.select(F.col("sid").alias("a"), F.col("tokens").alias("_ta"))
-    right = prefixes.select(F.col("sid").alias("b"), F.col("tokens").alias("_tb"))
+    left = nodes.select(F.col("sid").alias("a"), F.col("tokens.token").alias("_ta"))
+    right = nodes.select(F.col("sid").alias("b"), F.col("tokens.token").alias("_tb"))
     na, nb = F.col("na"), F.col("nb")
     most = F.size(F.array_intersect("_ta", "_tb")) + F.greatest(_beyond(na, percent), _beyond(nb, percent))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(most >= F.ceil(percent * (na + nb) / (100 + percent))).select("a", "b", "na", "nb")
+    return both.where(most >= _least(na, nb, percent)).select("a", "b", "na", "nb")
 
 
-def _open_lists(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """(token, sid, n, head, class) of the lists that hold more than one class."""
+def _classed(nodes: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Nodes with their class and its number of nodes."""
     if classes is None:
-        return postings.withColumn("class", F.col("sid"))
-    named = postings.join(classes.select(F.col("id").alias("sid"), F.col("component").alias("_c")), "sid", "left")
-    named = named.select("token", "sid", "n", "head", F.coalesce("_c", "sid").alias("class"))
-    lists = named.groupBy("token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"))
-    mixed = lists.where("_lo <> _hi").select("token")
-    return named.join(mixed, "token", "left_semi")
+        return nodes.select("*", F.col("sid").alias("class"), F.lit(1).cast("long").alias("members"))
+    sizes = classes.groupBy("component").agg(F.count("*").alias("_k"))
+    named = classes.join(sizes, "component").select(F.col("id").alias("sid"), F.col("component").alias("_c"), "_k")
+    both = nodes.join(named, "sid", "left")
+    return both.select(*nodes.columns, F.coalesce("_c", "sid").alias("class"), F.coalesce("_k", F.lit(1)).cast("long").alias("members"))
+
 
+def _lists(classed: DataFrame, percent: int) -> DataFrame:
+    """(token, at, sid, n, hub, class, members) of the lists that hold more than one class."""
+    each = classed.select(F.explode("tokens").alias("_t"), "sid", "n", "hub", "class", "members").select("_t.token", "_t.at", "sid", "n", "hub", "class", "members")
+    token = Window.partitionBy("token")
+    mixed = each.select("*", F.min("class").over(token).alias("_lo"), F.max("class").over(token).alias("_hi")).where("_lo <> _hi")
+    return mixed.drop("_lo", "_hi")
 
-def _star(lists: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+
+def _star(lists: DataFrame, percent: int) -> DataFrame:
     """Each node with the most central node of the list that most of its prefix shares."""
-    known = lists.join(hubs, "sid")
-    centre = known.groupBy("token").agg(F.max(F.struct("hub", "class", "sid", "n")).alias("_z"))
+    centre = F.max(F.struct("hub", "class", "sid", "n")).over(Window.partitionBy("token"))
     found = (
-        lists.join(centre, "token")
+        lists.withColumn("_z", centre)
         .where((F.col("class") != F.col("_z.class")) & _close(F.col("n"), F.col("_z.n"), percent))
         .groupBy(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("_z.sid").alias("b"), F.col("_z.n").alias("nb"))
         .agg(F.count("*").alias("_k"))
@@ -320,55 +307,63 @@ def _neighbours(lists: DataFrame, percent: int, seed: int, most: int = PARTNERS)
     return found.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
-def _rest(lists: DataFrame, percent: int) -> DataFrame:
+def _rest(classed: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes whose prefixes overlap enough for the threshold.
 
-    A pair shares a list, the smaller set by its head. Lists are joined by
-    chunks of about ``CHUNK`` nodes of one class, so members of a large class
-    that share a token with a node are one row; the nodes of two chunks are
-    then compared where both are at hand. An overlap of c in the prefixes
-    leaves at most the rest of one of the sets besides.
+    A pair's first common member lies in the smaller set's head, at places i
+    and j that leave min(n - i, m - j) members or more for the overlap. Lists
+    are joined by chunks of about ``CHUNK`` nodes of one class, so members of a
+    large class that share a token with a node are one row; the nodes of two
+    chunks are then compared where both are at hand.
     """
-    size = lists.groupBy("class").agg(F.countDistinct("sid").alias("_k"))
-    pieces = F.pmod(F.xxhash64("sid"), F.ceil(F.col("_k") / CHUNK)).cast("int").alias("piece")
-    known = durable(lists.join(size, "class").select("token", "sid", "n", "head", "class", pieces))
-    chunks = (
-        known.groupBy("class", "piece", "sid", "n")
-        .agg(F.collect_list("token").alias("tokens"))
-        .groupBy("class", "piece")
-        .agg(F.collect_list(F.struct("sid", "n", "tokens")).alias("nodes"))
-    )
-    chunks = durable(chunks.select(F.struct("class", "piece").alias("chunk"), "nodes"))
-    spots = known.groupBy("token", F.struct("class", "piece").alias("chunk")).agg(
-        F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi")
+    piece = F.pmod(F.xxhash64("sid"), F.ceil(F.col("members") / CHUNK)).cast("int")
+    chunk = F.struct("class", piece.alias("piece")).alias("chunk")
+    node = F.struct("sid", "n", F.col("tokens.token").alias("tokens"), F.col("tokens.at").alias("places")).alias("node")
+    chunks = durable(classed.select(chunk, node).groupBy("chunk").agg(F.collect_list("node").alias("nodes")))
+    head = F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    spots = (
+        lists.select("token", "n", chunk, head.alias("head"), (F.col("n") - F.col("at")).alias("room"))
+        .repartition("token")
+        .groupBy("token", "chunk")
+        .agg(F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
     )
-    x = spots.where("head").select("token", F.col("chunk").alias("p"), F.col("lo").alias("lp"), F.col("hi").alias("hp"))
-    y = spots.select("token", F.col("chunk").alias("q"), F.col("lo").alias("lq"), F.col("hi").alias("hq"))
-    near = (100 * F.col("hp") >= percent * F.col("lq")) & (100 * F.col("hq") >= percent * F.col("lp"))
-    units = x.join(y, "token").where((F.col("p.class") != F.col("q.class")) & near)
+    side = lambda k: [F.col("chunk").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "room"))]
+    near = (100 * F.col("p_hi") >= percent * F.col("q_lo")) & (100 * F.col("q_hi") >= percent * F.col("p_lo"))
+    room = F.least("p_room", "q_room") >= _least(F.col("p_lo"), F.col("q_lo"), percent)
+    units = spots.where("head").select("token", *side("p")).join(spots.select("token", *side("q")), "token")
+    units = units.where((F.col("p.class") != F.col("q.class")) & near & room)
     units = units.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     both = units.join(chunks.select(F.col("chunk").alias("p"), F.col("nodes").alias("left")), "p")
     both = both.join(chunks.select(F.col("chunk").alias("q"), F.col("nodes").alias("right")), "q").select("left", "right")
 
     def compare(batches):
-        rest = lambda n: -(-percent * n // 100) - 1  # noqa: E731  beyond the prefix
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                other = [(r["sid"], r["n"], set(r["tokens"])) for r in right]
-                for r in left:
-                    own, n = set(r["tokens"]), r["n"]
-                    for sid, m, tokens in other:
-                        if 100 * min(n, m) < percent * max(n, m):
-                            continue
-                        if len(own & tokens) + max(rest(n), rest(m)) >= -(-percent * (n + m) // (100 + percent)):
-                            out.append((r["sid"], sid, n, m))
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                one, other = ([(r["sid"], r["n"], dict(zip(r["tokens"], r["places"]))) for r in side.as_py()] for side in (left, right))
+                out += [(a, b, n, m) for a, n, x in one for b, m, y in other if _may_reach(n, x, m, y, percent)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "na", "nb"])
 
     return both.mapInArrow(compare, "a long, b long, na long, nb long")
 
 
+def _may_reach(n: int, x: dict[int, int], m: int, y: dict[int, int], percent: int) -> bool:
+    """Whether sets of n and m can be similar, by the places of what their prefixes share.
+
+    The overlap is at most the k shared, and what follows the last of them, in
+    either set; and at most the k and the rest beyond one of the prefixes.
+    """
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    both = x.keys() & y.keys()
+    if not both:
+        return False
+    i, j = max(x[t] for t in both), max(y[t] for t in both)
+    beyond = max(-(-percent * n // 100) - 1, -(-percent * m // 100) - 1)
+    return len(both) + min(n - i - 1, m - j - 1, beyond) >= -(-percent * (n + m) // (100 + percent))
+
+
 def jaccard_classes(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, report: dict | None = None
 ) -> DataFrame:
@@ -377,45 +372,54 @@ def jaccard_classes(
     importable(spark)
     common = common_shingles(docs, text, words)
     rows = durable(shingle_prefixes(docs, common, key=key, text=text, words=words, percent=percent))
-    postings = durable(
+    token = Window.partitionBy("token")
+    shared = (
         rows.where("prefix is not null")
-        .select(F.posexplode("prefix").alias("_at", "token"), "sid", "n")
-        .select("token", "sid", "n", (F.col("_at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))).alias("head"))
-        .repartition("token")
-        .sortWithinPartitions("token", "sid")
-        .mapInArrow(_shared_postings, "token long, sid long, n long, head boolean")
+        .select(F.posexplode("prefix").alias("at", "token"), "sid", "n")
+        .select(
+            "*", F.lag("sid").over(token.orderBy("sid")).alias("_last"), F.count("*").over(token).alias("_df"),
+            F.min("sid").over(token).alias("_lo"), F.max("sid").over(token).alias("_hi"),
+        )
+        .where("_lo <> _hi AND (_last IS NULL OR _last <> sid)")
+    )
+    # what a node shares is no longer than its prefix
+    nodes = durable(
+        shared.groupBy("sid").agg(
+            F.first("n").alias("n"), F.collect_list(F.struct("token", "at")).alias("tokens"), (F.sum(F.log2("_df")) / F.first("n")).alias("hub")
+        )
     )
-    prefixes = durable(postings.groupBy("sid").agg(F.collect_list("token").alias("tokens")))  # no longer than a prefix
-    owners = durable(rows.where("n > 0").groupBy("sid").agg(F.min(key).alias(key)).join(prefixes.select("sid"), "sid"))
+    owners = durable(rows.where("n > 0").groupBy("sid").agg(F.min(key).alias(key)).join(nodes.select("sid"), "sid"))
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        """The links among pairs; sets are made again from the texts of these nodes."""
+    def decided(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+        """The links among pairs, and the numbers of both; sets are made again from the texts of their nodes."""
         pairs = durable(pairs)
-        nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        wanted = durable(owners.join(nodes, "sid"))
-        few = wanted.count() <= BROADCAST
+        count = pairs.count()
+        sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        wanted = durable(owners.join(sids, "sid"))
+        few = count <= BROADCAST
         chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
-        return durable(linked(pairs, durable(set_fragments(chosen, key=key, text=text, words=words)), percent))
+        links = durable(linked(pairs, set_fragments(chosen, key=key, text=text, words=words), percent, few))
+        return links, count, links.count()
 
-    listed = postings.groupBy("token").agg(F.count("*").alias("_df"))
-    hubs = durable(postings.join(listed, "token").groupBy("sid").agg((F.sum(F.log2("_df")) / F.first("n")).alias("hub")))
-    found, classes, step, before = None, None, 0, None
+    found, classes, step, good = None, None, 0, True
     while True:
-        lists = durable(_open_lists(postings, classes))
-        size = lists.count()
-        last = step > ROUNDS or (before is not None and size > 0.8 * before)
+        classed = durable(_classed(nodes, classes))
+        lists = durable(_lists(classed, percent))
+        last = step > ROUNDS or (step > 0 and good)
         if last:
-            pairs = _rest(lists, percent)
+            pairs = _rest(classed, lists, percent)
         else:
-            pairs = bounded(_neighbours(lists, percent, step) if step else _star(lists, hubs, percent), prefixes, percent)
-        links = decided(pairs)
+            pairs = bounded(_neighbours(lists, percent, step) if step else _star(lists, percent), nodes, percent)
+        links, tried, made = decided(pairs)
         if report is not None:
-            report[step] = (size, links.count())
+            report[step] = (tried, made)
         found = links if found is None else found.union(links)
         classes = durable(components(spark, found))
         if last:
             break
-        before, step = (size if step else None), step + 1
+        # centres that most nodes link with, or partners that hardly any do, leave little to settle before step 3
+        good = 4 * made >= tried if step == 0 else 20 * made < tried
+        step += 1
     # the class is named by its least key
     least = rows.where("n > 0").groupBy("sid").agg(F.min(key).alias("_own"), F.count("*").alias("_rows"))
     named = least.join(classes.select(F.col("id").alias("sid"), "component"), "sid", "left").select(
