@@ -118,7 +118,10 @@ OTHERS = [
 ]
 
 #: Words that say nothing of a licence by themselves.
-COMMON = "0 1 2 3 4 as associated at c can charge except fee files form forms international into it later may met only or permitted project provided that v without you".split()
+COMMON = (
+    "0 1 2 3 4 a all and any are as associated at be by c can charge except fee file files following for form forms free in into is it later may met not of only or "
+    "permitted person project provided purpose public subject terms that the this to under use v version was with without work you"
+).split()
 
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *NOTICES)
@@ -211,10 +214,10 @@ def model() -> tuple[dict[str, list[float]], list[float], float, list[str]]:
     loss = lambda heat: -sum(math.log(max(1e-9, _softmax(s, heat)[c])) for s, c in held)
     heat = min((0.5 * 1.15**i for i in range(20)), key=loss)
     weights, bias = _fit([(g, c) for g, c, _ in rows])
-    plain = {w for x in OTHERS for w in _words(x)} | set(COMMON)
-    plain -= {"license", "licence", "mit", "apache", "mozilla", "rights", "reserved"}
+    told = {w for some in NOTICES.values() for x in some for w in _words(x)}
+    plain = ({w for x in OTHERS for w in _words(x)} - told) | set(COMMON)
     # an n-gram without a word of its own is no evidence
-    kept = {x: [round(v, 4) for v in w] for x, w in weights.items() if set(x.split()) - plain and max(map(abs, w)) > 0.02}
+    kept = {x: [round(v, 4) for v in w] for x, w in weights.items() if set(x.split()) - plain and max(map(abs, w)) > 0.05}
     anchors = sorted({min(set(x.split()) - plain, key=lambda w: (-len(w), w)) for x in kept})
     return kept, bias, heat, anchors
 

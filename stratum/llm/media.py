@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import importable, string_column, table
+from .common import importable, pieces, string_column, table
 
 WIDTH = 64
 CHUNK = 1 << 16
@@ -154,8 +154,8 @@ def encode_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     importable(docs.sparkSession)
 
     def encode(batches):
-        for batch in batches:
-            for part in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):
+        for batch in pieces(batches):
+            for part in pieces([batch], 64):
                 made = [payload_of(x) for x in string_column(part, text)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key), pa.array([n for _, n in made], pa.int64()), pa.array([write_png(x) for x, _ in made], pa.binary())],
@@ -193,7 +193,7 @@ def decode_media(media: DataFrame, *, key: str = "doc_id", strict: bool = True)
     names = [x.split()[0] for x in MEDIA.split(", ")]
 
     def decode(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [facts(n, x) for n, x in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist())]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, *names])

@@ -67,8 +67,8 @@ def _targets(cells: DataFrame, given: dict[str, dict[str, float]] | None, alpha:
             share = present.join(wanted, m).select(m, "w")
         else:
             share = present.select(m, F.pow(F.col("t").cast("double"), F.lit(alpha)).alias("w"))
-        whole = share.agg(F.sum("w").alias("_w"))
-        out[m] = share.join(F.broadcast(whole)).select(m, (F.col("w") / F.col("_w") * rate * total).alias("target"))  # one row
+        whole = share.agg(F.sum("w")).first()[0] or 1.0
+        out[m] = share.select(m, (F.col("w") / F.lit(whole) * rate * total).alias("target"))
     return out
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import durable, importable, string_column, table
+from .common import durable, importable, pieces, string_column, table
 from .tokens import worker
 
 CAPACITY = 2048
@@ -171,7 +171,7 @@ def cut_pieces(
 
     def cut(batches):
         units, dealt, ranks = worker(path, False), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for at, ids in enumerate(units.of_many(string_column(batch, text))):
                 ids = np.append(ids, end)
@@ -210,7 +210,7 @@ def pack(
     rank = F.col("_base") + F.col("_rank")
     seat = rank - F.col("_at")
     return (
-        pieces.join(base, ["length", "_dealt"])
+        pieces.join(base.hint("merge"), ["length", "_dealt"])  # as many rows as partitions times lengths: never broadcast
         .withColumn("_r", rank)
         .join(F.broadcast(placed), "length")
         .where((F.col("_r") >= F.col("_at")) & (F.col("_r") < F.col("_at") + F.col("_n")))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, durable, importable, pool_adjacent, string_column, table
+from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_column, table
 
 FEATURES = 192
 FOLDS = 4
@@ -101,7 +101,7 @@ def document_statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     importable(docs.sparkSession)
 
     def describe(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [statistics(x) for x in string_column(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, pa.list_(pa.float64()))], [key, "stats"])
 

@@ -10,7 +10,7 @@ of many texts at once and looked up in an open-addressing table of arrays.
 Tier one of it holds frequent units, gathered by bounded per-partition
 summaries over all documents and broadcast (at most ``FREQUENT`` entries of at
 most ``UNIT`` bytes). Tier two is what the tokenizer adds in each Python
-worker, up to ``CACHED`` entries; then the table starts again from tier one.
+worker; at ``CACHED`` entries the half that was used most stays.
 Units are never shuffled; only the bounded summaries are.
 
 Null text counts as empty (0 tokens). Rows keep their duplicates. Special
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, grouped, importable, string_column, table
+from .common import byte_hashes, grouped, importable, pieces, string_column, table
 
 FREQUENT = 65_536
 SUMMARY = 8_192
 UNIT = 48
-CACHED = 1_500_000
+CACHED = 700_000
 SLICE = 1 << 20
 GROUP = 1 << 16
 LIMIT = 1024
@@ -135,6 +135,7 @@ class Units:
     def _start(self) -> None:
         self.table, self.used = Table(), 0
         self.number, self.offset = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.hash, self.uses = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, "<u4")
         if self.first is not None:
             self._enter(self.first[0], self.first[1], None)
@@ -144,11 +145,24 @@ class Units:
         at = self.table.count
         self.table.add(hashes)
         self.number = _room(self.number, at, numbers)
+        self.hash = _room(self.hash, at, hashes)
+        self.uses = _room(self.uses, at, np.zeros(len(hashes), np.int32))
         if ids is not None:
             self.offset = _room(self.offset, at, self.used + np.cumsum(numbers) - numbers)
             self.pool = _room(self.pool, self.used, ids)
             self.used += len(ids)
 
+    def _compact(self) -> None:
+        """Start again with the half of tier two that was used most."""
+        keep = self.base + np.argsort(-self.uses[self.base : self.table.count], kind="stable")[: CACHED // 2]
+        hashes, numbers = self.hash[keep], self.number[keep]
+        ids = None
+        if not self.counts:
+            ends = np.cumsum(numbers, dtype=np.int64)
+            ids = self.pool[np.repeat(self.offset[keep] - ends + numbers, numbers) + np.arange(ends[-1])]
+        self._start()
+        self._enter(hashes, numbers, ids)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -208,12 +222,13 @@ class Units:
         new = np.flatnonzero(entry < 0)
         if len(new):
             if self.table.count - self.base > CACHED:
-                self._start()
-                entry, new = self.table.find(h), np.arange(len(h))
-                new = new[entry < 0]
+                self._compact()
+                entry = self.table.find(h)
+                new = np.flatnonzero(entry < 0)
             _, pick = np.unique(h[new], return_index=True)
             self._learn(data, starts, ends, h, new[pick], set(first.tolist()) if odd else set())
             entry[new] = self.table.find(h[new])
+        self.uses[entry] += 1
         number = self.number[entry]
         total = np.cumsum(number, dtype=np.int64)
         to = total[last - 1]
@@ -294,7 +309,7 @@ def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = F
             spelt = {k: spelt[k] for k in names}
             held, n = [], 0
 
-        for batch in batches:
+        for batch in pieces(batches):
             for group in grouped([x for x in string_column(batch, text) if len(x) <= SLICE and is_plain(x)], GROUP):
                 data = np.frombuffer(b" ".join(x.encode("utf-8", "surrogatepass") for x in group), np.uint8)
                 gaps = np.flatnonzero(data == 32)
@@ -342,7 +357,7 @@ def count_tokens(
 
     def count(batches):
         units = worker(path, True, shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = string_column(batch, text)
             n = units.of_many(texts)
             size = [len(x.encode("utf-8", "surrogatepass")) for x in texts]

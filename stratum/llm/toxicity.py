@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, durable, importable, pool_adjacent, string_column, table
+from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_column, table
 
 TAUGHT = 6000
 BURST = 3
@@ -43,7 +43,7 @@ FEATURES = 20_000
 STEM = range(4, 10)
 EXPECT = 0.05
 THRESHOLD = 0.3
-CACHED = 400_000
+CACHED = 150_000
 
 _word = re.compile(r"\w+")
 _EMPTY = -1e3
@@ -147,7 +147,7 @@ def _taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 def _feature_counts(taught: DataFrame) -> DataFrame:
     def count(batches):
         both, docs = (Counter(), Counter()), Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             for text, y in zip(string_column(batch, "text"), batch.column("y").to_pylist()):
                 own: Counter = Counter()
                 for word, n in Counter(_word.findall(lowered(text))).items():
@@ -195,7 +195,7 @@ def fit(taught: DataFrame) -> Model:
 
     def hit_rates(batches):
         n, h = [0, 0], [0, 0]
-        for batch in batches:
+        for batch in pieces(batches):
             for text, y in zip(string_column(batch, "text"), batch.column("y").to_pylist()):
                 k, _, hits = first.segments(text)
                 n[y], h[y] = n[y] + k, h[y] + len(hits)
@@ -207,7 +207,7 @@ def fit(taught: DataFrame) -> Model:
     weights = Weights(listed, other)
 
     def describe(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [weights.segments(x) for x in string_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -279,7 +279,7 @@ def toxicity(
 
     def score(batches):
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for value in string_column(batch, text):
                 n, segments, _ = m.weights.segments(value)
