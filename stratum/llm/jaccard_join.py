@@ -5,9 +5,10 @@ global order holds for all documents: shingles by hash, and after them those
 that the corpus repeats most (a bounded table gathered from all documents). Two
 sets at the threshold t share a member of their first n - ceil(t n) + 1 in that
 order, and of the smaller set the first n - ceil(2 t n / (1 + t)) + 1 do (its
-head), so this prefix is the fragment that finds candidates. To decide them, hash ranges cut
-every set into ``FRAGMENTS`` fragments; partial overlaps are counted for each
-fragment on its own and summed per pair.
+head), so this prefix is the fragment that finds candidates. To decide them,
+hash ranges cut every set into ``FRAGMENTS`` fragments; partial overlaps are
+counted for each fragment on its own and summed per pair. The first ``FIRST``
+fragments and the sizes of the others rule most pairs out.
 
 Documents with equal sets are one node. A node's class is what is asked for,
 so links inside a class that is already known are not counted again:
@@ -43,13 +44,15 @@ from .common import byte_hashes, components, durable, grouped, importable, piece
 WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
-COMMON = 1 << 17
+#: Fragments that are counted first, for all candidates.
+FIRST = 2
+COMMON = 1 << 19
 #: Most ids that a broadcast may hold; beyond, the join is shuffled.
 BROADCAST = 1 << 19
 #: Partners of a node in a round of step 2, and most such rounds.
 PARTNERS = 12
 ROUNDS = 3
-#: Nodes of one class that are joined as one row.
+#: Nodes with one centre that are joined as one row.
 CHUNK = 64
 
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -101,7 +104,7 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
     Every partition counts its shingles in blocks and hands over a bounded
     summary. The table sets an order only; any table gives the same result.
     """
-    block, cells = 1 << 21, 1 << 20
+    block, cells = 1 << 21, 1 << 22
 
     def summarise(batches):
         held, n = [], 0
@@ -110,10 +113,10 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
         def merge():
             nonlocal names, counts, held, n
             x = np.concatenate(held)
-            place = (x >> np.uint64(44)).astype(np.int64)
+            place = (x >> np.uint64(42)).astype(np.int64)
             often = np.bincount(place, minlength=cells)
-            # few repeated shingles are in cells that are not fuller than chance makes them
-            full = max(4, 2 * len(x) // cells + 6)
+            # a shingle that occurs three times is in a cell with three or more
+            full = 3
             x, c = np.unique(x[often[place] >= full], return_counts=True)
             x, c = x[c > 2], c[c > 2]
             both, at = np.unique(np.concatenate([names, x]), return_inverse=True)
@@ -193,25 +196,28 @@ def shingle_prefixes(docs: DataFrame, common: np.ndarray, *, key: str, text: str
 
 
 def set_fragments(docs: DataFrame, *, key: str, text: str, words: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """(sid, part, members): every set of (key, text, sid), cut by hash ranges; empty fragments are left out."""
+    """(sid, part, members, sizes): every set of (key, text, sid), cut by hash ranges; sizes are of all its fragments."""
 
     def cut(batches):
         edges = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64)
         for batch in pieces(batches):
-            sids, parts, members = [], [], []
+            sids, parts, members, sizes = [], [], [], []
             for sid, y in zip(batch.column("sid").to_pylist(), shingle_sets(string_column(batch, text), words)):
                 if set_id(y) != sid:  # another text under an equal key
                     continue
-                for part, x in enumerate(np.split(y, np.searchsorted(y, edges))):
-                    if len(x):
-                        sids.append(sid)
-                        parts.append(part)
-                        members.append(x.view(np.int64))
+                cut_up = np.split(y, np.searchsorted(y, edges))
+                size = [len(x) for x in cut_up]
+                for part, x in enumerate(cut_up):
+                    sids.append(sid)
+                    parts.append(part)
+                    members.append(x.view(np.int64))
+                    sizes.append(size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sids, pa.int64()), pa.array(parts, pa.int32()), pa.array(members, pa.list_(pa.int64()))], ["sid", "part", "members"]
+                [pa.array(sids, pa.int64()), pa.array(parts, pa.int32()), pa.array(members, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
+                ["sid", "part", "members", "sizes"],
             )
 
-    return docs.select("sid", text).mapInArrow(cut, "sid long, part int, members array<long>")
+    return docs.select("sid", text).mapInArrow(cut, "sid long, part int, members array<long>, sizes array<int>")
 
 
 def _close(a, b, percent: int):
@@ -219,24 +225,21 @@ def _close(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def linked(pairs: DataFrame, fragments: DataFrame, percent: int, few: bool) -> DataFrame:
-    """Of pairs (a, b, na, nb): (a, b) at the threshold, by summed overlaps of fragments (sid, part, members).
+def overlaps(pairs: DataFrame, fragments: DataFrame, few: bool) -> DataFrame:
+    """Pairs (a, b, na, nb, c0) with c, the overlap of the given fragments, and more, the most that the later ones can add.
 
     A fragment goes to each of its node's pairs; both sides of a pair meet in
     one shuffle. The pairs are broadcast when they are few.
     """
     side = F.explode(F.array(F.struct(F.col("a").alias("sid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("sid"), F.lit(1).alias("side"))))
-    ends = pairs.select("a", "b", "na", "nb", side.alias("_e")).select("_e.sid", "_e.side", "a", "b", "na", "nb")
+    keys = ["a", "b", "na", "nb", "c0"]
+    ends = pairs.select(*keys, side.alias("_e")).select("_e.sid", "_e.side", *keys)
     sent = fragments.join(F.broadcast(ends) if few else ends, "sid")
-    of = lambda k: F.first(F.when(F.col("side") == k, F.col("members")), ignorenulls=True)  # noqa: E731  equal rows bring a fragment twice
-    met = sent.groupBy("a", "b", "na", "nb", "part").agg(of(0).alias("_x"), of(1).alias("_y"))
-    return (
-        met.select("a", "b", "na", "nb", F.coalesce(F.size(F.array_intersect("_x", "_y")), F.lit(0)).cast("long").alias("c"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("c").alias("c"))
-        .where(F.lit(100) * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
-        .select("a", "b")
-    )
+    of = lambda k, c: F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True)  # noqa: E731  equal rows bring a fragment twice
+    met = sent.groupBy(*keys, "part").agg(of(0, "members").alias("_x"), of(1, "members").alias("_y"), of(0, "sizes").alias("_s"), of(1, "sizes").alias("_t"))
+    later = F.aggregate(F.slice(F.zip_with("_s", "_t", lambda x, y: F.least(x, y)), FIRST + 1, FRAGMENTS), F.lit(0), lambda t, x: t + x)
+    counts = met.select(*keys, F.size(F.array_intersect("_x", "_y")).cast("long").alias("c"), later.cast("long").alias("more"))
+    return counts.groupBy(*keys).agg(F.sum("c").alias("c"), F.max("more").alias("more"))
 
 
 def _beyond(n, percent: int):
@@ -263,18 +266,28 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _classed(nodes: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Nodes with their class and its number of nodes."""
+    """Nodes with their class."""
     if classes is None:
-        return nodes.select("*", F.col("sid").alias("class"), F.lit(1).cast("long").alias("members"))
-    sizes = classes.groupBy("component").agg(F.count("*").alias("_k"))
-    named = classes.join(sizes, "component").select(F.col("id").alias("sid"), F.col("component").alias("_c"), "_k")
-    both = nodes.join(named, "sid", "left")
-    return both.select(*nodes.columns, F.coalesce("_c", "sid").alias("class"), F.coalesce("_k", F.lit(1)).cast("long").alias("members"))
+        return nodes.withColumn("class", F.col("sid"))
+    named = classes.select(F.col("id").alias("sid"), F.col("component").alias("_c"))
+    return nodes.join(named, "sid", "left").select(*nodes.columns, F.coalesce("_c", "sid").alias("class"))
+
+
+def _chunked(nodes: DataFrame, centres: DataFrame) -> DataFrame:
+    """Nodes with their chunk: about ``CHUNK`` of those with one centre (a, b), which is its own."""
+    own = centres.select(F.col("b").alias("sid"), F.col("b").alias("_own")).distinct()
+    other = centres.select(F.col("a").alias("sid"), F.col("b").alias("_b"))
+    named = nodes.join(own, "sid", "left").join(other, "sid", "left").withColumn("_c", F.coalesce("_own", "_b", "sid"))
+    sizes = named.groupBy("_c").agg(F.count("*").alias("_k"))
+    piece = F.pmod(F.xxhash64("sid"), F.ceil(F.col("_k") / CHUNK)).cast("int")
+    both = named.join(sizes.where("_k > 1"), "_c", "left")
+    return both.select(*nodes.columns, F.struct(F.col("_c").alias("centre"), F.coalesce(piece, F.lit(0)).alias("piece")).alias("chunk"))
 
 
 def _lists(classed: DataFrame, percent: int) -> DataFrame:
-    """(token, at, sid, n, hub, class, members) of the lists that hold more than one class."""
-    each = classed.select(F.explode("tokens").alias("_t"), "sid", "n", "hub", "class", "members").select("_t.token", "_t.at", "sid", "n", "hub", "class", "members")
+    """(token, at, sid, n, hub, class[, chunk]) of the lists that hold more than one class."""
+    names = [c for c in classed.columns if c != "tokens"]
+    each = classed.select(F.explode("tokens").alias("_t"), *names).select("_t.token", "_t.at", *names)
     token = Window.partitionBy("token")
     mixed = each.select("*", F.min("class").over(token).alias("_lo"), F.max("class").over(token).alias("_hi")).where("_lo <> _hi")
     return mixed.drop("_lo", "_hi")
@@ -312,36 +325,46 @@ def _rest(classed: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
     A pair's first common member lies in the smaller set's head, at places i
     and j that leave min(n - i, m - j) members or more for the overlap. Lists
-    are joined by chunks of about ``CHUNK`` nodes of one class, so members of a
-    large class that share a token with a node are one row; the nodes of two
-    chunks are then compared where both are at hand.
+    are joined by chunks of about ``CHUNK`` nodes with one centre, so a group
+    that shares a token with a node, or in itself, is few rows; the nodes of
+    two chunks are then compared where both are at hand.
     """
-    piece = F.pmod(F.xxhash64("sid"), F.ceil(F.col("members") / CHUNK)).cast("int")
-    chunk = F.struct("class", piece.alias("piece")).alias("chunk")
-    node = F.struct("sid", "n", F.col("tokens.token").alias("tokens"), F.col("tokens.at").alias("places")).alias("node")
-    chunks = durable(classed.select(chunk, node).groupBy("chunk").agg(F.collect_list("node").alias("nodes")))
+    node = F.struct("sid", "n", "class", F.col("tokens.token").alias("tokens"), F.col("tokens.at").alias("places")).alias("node")
+    chunks = durable(classed.select("chunk", node).groupBy("chunk").agg(F.collect_list("node").alias("nodes")))
     head = F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
     spots = (
-        lists.select("token", "n", chunk, head.alias("head"), (F.col("n") - F.col("at")).alias("room"))
+        lists.select("token", "n", "chunk", head.alias("head"), (F.col("n") - F.col("at")).alias("room"))
         .repartition("token")
         .groupBy("token", "chunk")
-        .agg(F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
+        .agg(F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.count("*").alias("k"))
     )
-    side = lambda k: [F.col("chunk").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "room"))]
+    side = lambda k: [F.col("chunk").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "room", "k"))]
     near = (100 * F.col("p_hi") >= percent * F.col("q_lo")) & (100 * F.col("q_hi") >= percent * F.col("p_lo"))
     room = F.least("p_room", "q_room") >= _least(F.col("p_lo"), F.col("q_lo"), percent)
     units = spots.where("head").select("token", *side("p")).join(spots.select("token", *side("q")), "token")
-    units = units.where((F.col("p.class") != F.col("q.class")) & near & room)
+    units = units.where(near & room & ((F.col("p") != F.col("q")) | (F.col("p_k") > 1)))
     units = units.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     both = units.join(chunks.select(F.col("chunk").alias("p"), F.col("nodes").alias("left")), "p")
-    both = both.join(chunks.select(F.col("chunk").alias("q"), F.col("nodes").alias("right")), "q").select("left", "right")
+    both = both.join(chunks.select(F.col("chunk").alias("q"), F.col("nodes").alias("right")), "q").select("p", "q", "left", "right")
+    both = both.select((F.col("p") == F.col("q")).alias("same"), "left", "right")
 
     def compare(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, 64):
             out = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                one, other = ([(r["sid"], r["n"], dict(zip(r["tokens"], r["places"]))) for r in side.as_py()] for side in (left, right))
-                out += [(a, b, n, m) for a, n, x in one for b, m, y in other if _may_reach(n, x, m, y, percent)]
+            for same, left, right in zip(batch.column("same").to_pylist(), batch.column("left"), batch.column("right")):
+                one = left.as_py()
+                other = one if same else right.as_py()
+                where: dict[int, list[int]] = {}
+                for i, x in enumerate(one):
+                    x["shared"] = dict(zip(x["tokens"], x["places"]))
+                    for t in x["tokens"]:
+                        where.setdefault(t, []).append(i)
+                for k, y in enumerate(other):
+                    mine = y.get("shared") or dict(zip(y["tokens"], y["places"]))
+                    for i in {i for t in mine for i in where.get(t, ()) if not same or i < k}:
+                        x = one[i]
+                        if x["class"] != y["class"] and _may_reach(x["n"], x["shared"], y["n"], mine, percent):
+                            out.append((x["sid"], y["sid"], x["n"], y["n"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "na", "nb"])
 
@@ -392,24 +415,34 @@ def jaccard_classes(
 
     def decided(pairs: DataFrame) -> tuple[DataFrame, int, int]:
         """The links among pairs, and the numbers of both; sets are made again from the texts of their nodes."""
-        pairs = durable(pairs)
+        pairs = durable(pairs.withColumn("c0", F.lit(0).cast("long")))
         count = pairs.count()
+        need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+        some = durable(overlaps(pairs, fragments_of(pairs, count, "part < {}"), count <= BROADCAST))
+        # pairs that the first fragments rule out send no others
+        left = durable(some.where(F.col("c") + F.col("more") >= need).select("a", "b", "na", "nb", F.col("c").alias("c0")))
+        n = left.count()
+        whole = overlaps(left, fragments_of(left, n, "part >= {}"), n <= BROADCAST).withColumn("c", F.col("c") + F.col("c0"))
+        links = durable(whole.where(F.lit(100) * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"))
+        return links, count, links.count()
+
+    def fragments_of(pairs: DataFrame, count: int, which: str) -> DataFrame:
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         wanted = durable(owners.join(sids, "sid"))
-        few = count <= BROADCAST
-        chosen = docs.select(key, text).join(F.broadcast(wanted) if few else wanted, key)
-        links = durable(linked(pairs, set_fragments(chosen, key=key, text=text, words=words), percent, few))
-        return links, count, links.count()
+        chosen = docs.select(key, text).join(F.broadcast(wanted) if count <= BROADCAST else wanted, key)
+        return set_fragments(chosen, key=key, text=text, words=words).where(which.format(FIRST))
 
     found, classes, step, good = None, None, 0, True
     while True:
-        classed = durable(_classed(nodes, classes))
-        lists = durable(_lists(classed, percent))
         last = step > ROUNDS or (step > 0 and good)
+        classed = durable(_classed(nodes if step == 0 else _chunked(nodes, centres), classes))
+        lists = durable(_lists(classed, percent))
         if last:
             pairs = _rest(classed, lists, percent)
         else:
-            pairs = bounded(_neighbours(lists, percent, step) if step else _star(lists, percent), nodes, percent)
+            if step == 0:
+                centres = durable(_star(lists, percent))
+            pairs = bounded(_neighbours(lists, percent, step) if step else centres, nodes, percent)
         links, tried, made = decided(pairs)
         if report is not None:
             report[step] = (tried, made)
