@@ -17,8 +17,6 @@ kinds of text (see ``topic_of``). Equal rows share their key's decision.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -34,10 +34,6 @@ def hash_bits(column):
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(h, depth):
-    return F.shiftright(h, F.lit(BITS) - depth) if not isinstance(depth, int) else F.shiftright(h, BITS - depth)
-
-
 def _depths(cells: DataFrame, depth: int, limit: int) -> DataFrame:
     """(cell, depth) of the bucket that each cell of ``depth`` bits ends in; -1 where the cell itself is over the limit."""
     ups = cells.select("cell", "bytes", "rows", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
