@@ -1,11 +1,13 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-Learning. Labelled rows (at most ``TAUGHT`` of each class, those whose hashed
-keys are least; equal texts count once) give counts of features: lower-case
+Learning. Labelled texts (at most ``TAUGHT`` of each class, those whose hashes
+are least; equal texts count once) give counts of features: lower-case
 words, and the beginnings of longer words, which stand for inflected stems. A
-document adds at most ``BURST`` to a feature. Log-odds between the classes use
-an informative Dirichlet prior, the pooled frequencies with the weight of the
-smaller class; features with a z-score of ``Z`` or more in ``DOCS`` documents
+document adds at most ``BURST`` to a feature. All labelled texts are counted,
+and a taught one stands for as many as its class has for each that is taught,
+so that a bound on the classes doesn't change their shares. Log-odds between the
+classes use an informative Dirichlet prior, the pooled frequencies with the
+weight of the smaller class; features with a z-score of ``Z`` or more in ``DOCS`` documents
 or more stay, at most ``FEATURES``. Every other word has one small negative
 score, the log-odds of not being such a feature.
 
@@ -15,7 +17,7 @@ E[exp(lambda * s)] = 1 over clean words) and K (from the best segments of
 clean documents), so a segment S in n words has E = K n exp(-lambda S). A
 document's evidence adds lambda S - log(K n) over its best and its significant
 (E < ``EXPECT``) segments; an isotonic map of the evidence, fitted on the
-taught rows, gives the score.
+taught rows and what they stand for, gives the score.
 
 Null and empty texts have no words and the score of texts without evidence.
 Labels that are null teach nothing. Without taught rows of both classes no
@@ -133,15 +135,16 @@ class Model:
         return float(np.interp(evidence, self.xs, self.ys))
 
 
-def _taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, n: int) -> DataFrame:
-    """(text, y) of at most ``n`` rows of each class, each text and class once."""
-    some = [
-        labels.where(F.col(label) == y).select(key, F.lit(y).alias("y")).distinct().orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(n)
-        for y in (0, 1)
-    ]
+def _taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, n: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(text, y) of at most ``n`` texts of each class, each text and class once; and for how many labelled texts one of each class stands."""
+    hashed = F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h")
+    named = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y")).distinct()
+    every = durable(docs.select(key, hashed).join(named, key).groupBy("_h", "y").agg(F.min(key).alias(key)))
+    totals = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
+    some = [every.where(F.col("y") == y).orderBy("_h").limit(n) for y in (0, 1)]
     # at most 2 n short rows: broadcast
-    rows = docs.select(key, text).join(F.broadcast(some[0].union(some[1])), key)
-    return rows.select(F.coalesce(text, F.lit("")).alias("text"), "y").dropDuplicates(["text", "y"])
+    rows = docs.select(key, text, hashed).join(F.broadcast(some[0].union(some[1])), [key, "_h"])
+    return rows.select(F.coalesce(text, F.lit("")).alias("text"), "y").dropDuplicates(["text", "y"]), tuple(max(1.0, totals.get(y, 0) / n) for y in (0, 1))
 
 
 def _feature_counts(taught: DataFrame) -> DataFrame:
@@ -170,8 +173,8 @@ def _feature_counts(taught: DataFrame) -> DataFrame:
     return found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("a", "b", "docs")))
 
 
-def fit(taught: DataFrame) -> Model:
-    """Fit to rows (text string, y 0/1), a bounded number."""
+def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fit to rows (text string, y 0/1), a bounded number; one of class y stands for ``stands[y]`` labelled texts."""
     counts = durable(_feature_counts(taught))
     totals = counts.where("feature = ''").first()
     n_a, n_b = (totals["a"], totals["b"]) if totals else (0, 0)
@@ -179,7 +182,7 @@ def fit(taught: DataFrame) -> Model:
     other = -0.01
     if n_a and n_b:
         prior = min(n_a, n_b)
-        alpha = prior * (F.col("a") + F.col("b")) / (n_a + n_b)
+        alpha = prior * (stands[1] * F.col("a") + stands[0] * F.col("b")) / (stands[1] * n_a + stands[0] * n_b)
         odds = lambda c, n: F.log((F.col(c) + alpha) / (n + prior - F.col(c) - alpha))
         z = (odds("a", n_a) - odds("b", n_b)) / F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha))
         top = (
@@ -223,15 +226,17 @@ def fit(taught: DataFrame) -> Model:
     clean = [r for r in seen if r["y"] == 0]
     rate = _decay([s for r in clean for s in r["hits"]], sum(r["n"] for r in clean), other)
     log_k = _location(clean, rate)
-    model = Model(weights, rate, log_k, np.array([0.0]), np.array([np.mean([r["y"] for r in seen]) if seen else 0.0]))
+    # classes can be cut at different shares
+    each = np.array([stands[r["y"]] for r in seen])
+    ys = np.array([r["y"] for r in seen], float)
+    model = Model(weights, rate, log_k, np.array([0.0]), np.array([np.average(ys, weights=each) if seen else 0.0]))
     if not seen:
         return model
     xs = np.array([model.evidence(r["n"], r["scores"]) for r in seen])
-    ys = np.array([r["y"] for r in seen], float)
-    # taught classes can be cut at different shares; ties form one point
+    # ties form one point
     points, where = np.unique(xs, return_inverse=True)
-    n = np.bincount(where)
-    share = np.bincount(where, ys) / n
+    n = np.bincount(where, each)
+    share = np.bincount(where, ys * each) / n
     fitted = pool_adjacent(np.concatenate([[1.0], n, [1.0]]), np.concatenate([[0.0], share, [1.0]]))[1:-1]
     model.xs, model.ys = points, np.clip(fitted, 0.001, 0.999)
     return model
@@ -309,7 +314,8 @@ def fit_toxicity(
 ) -> Model:
     """Learn from labelled rows whose crc32(key) modulo ``hold_out`` is not 2."""
     importable(docs.sparkSession)
-    return fit(durable(_taught(docs, labels.where(crc_mod(key, hold_out) != 2), key, text, label, taught)))
+    rows, stands = _taught(docs, labels.where(crc_mod(key, hold_out) != 2), key, text, label, taught)
+    return fit(durable(rows), stands)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,6 +421,20 @@ def test_toxicity(spark):
     assert got[600]["score"] == got[601]["score"] < 0.3
 
 
+def test_a_bound_on_taught_rows_keeps_the_shares_of_classes(spark):
+    """A word of which one text in ten is toxic: the score is that share, whatever part of each class is taught."""
+    rnd = random.Random(8)
+    toxic = [i % 10 == 0 and i % 20 != 10 or i % 100 == 10 for i in range(2000)]
+    words = [[rnd.choice(WORDS) for _ in range(30)] + ["venomous" if i % 20 == 0 else "murky" if i % 10 in (0, 5) or i % 4 == 1 else "plain"] for i in range(2000)]
+    docs = documents(spark, [" ".join(w) for w in words])
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    for taught in (5000, 80, 40):
+        got = {r["doc_id"]: r for r in toxicity.toxicity(docs, toxicity.fit_toxicity(docs, labels, taught=taught)).collect()}
+        murky = [i for i in range(2000) if words[i][-1] == "murky"]
+        assert abs(np.mean([r["score"] for r in got.values()]) - np.mean(toxic)) < 0.04
+        assert np.mean([got[i]["predicted"] for i in murky]) < 0.05 and got[0]["predicted"] == 1
+
+
 @pytest.mark.parametrize("labels", ["false", "toxic = 0 AND quality = 1"])
 def test_classifiers_without_both_classes(spark, labels):
     docs, held = labelled(spark, n=60)
