@@ -11,7 +11,12 @@ n-gram of the model has the bias alone and is unknown, so texts and paragraphs
 without an anchor word (every n-gram of the model holds one) are left out
 early. What is left is classified once per distinct paragraph: exploded n-grams
 meet the table of weights, whose size the fixed notices bound, and are summed.
-A family counts if the paragraph's word pairs also cover ``COVER`` of one of the
+A family is named if the whole paragraph makes it surer than ``unknown``, the best
+one first; then the n-grams of its notices are left out, and the next one must
+also win on the rest by itself, until none does (a round for each family at
+most). So a paragraph can name several, and a notice isn't taken for its
+look-alikes too.
+A named family counts if the paragraph's word pairs also cover ``COVER`` of one of the
 family's notices, or notices cover as much of the paragraph.
 
 Paragraphs are lines; long ones are taken in windows of ``WINDOW`` words that
@@ -127,8 +132,10 @@ UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *NOTICES)
 WINDOW, STEP = 256, 224
 COVER = 0.6
-#: Least calibrated probability of a family.
+#: Least calibrated probability of a family against ``unknown``.
 SURE = 0.5
+#: Least probability of a further family on what is left, the bias put aside.
+OWN = 0.75
 _word = re.compile(r"[a-z0-9]+")
 
 
@@ -234,22 +241,40 @@ def paragraphs(docs: DataFrame, key: str, text: str, anchors: list[str]) -> Data
 
 
 def classify(distinct: DataFrame) -> DataFrame:
-    """(paragraph, family, probability, cover) of distinct rows (paragraph string), unknown ones left out."""
+    """(paragraph, family, probability, cover) of distinct rows (paragraph string): a row for each family, unknown ones left out."""
     spark = distinct.sparkSession
     weights, bias, heat, _ = model()
-    table_ = spark.createDataFrame([(x, *w) for x, w in sorted(weights.items())], "gram string, " + ", ".join(f"w{c} double" for c in range(len(FAMILIES))))
+    told = {f: set().union(*(_ngrams(_words(x)) for x in some)) for f, some in NOTICES.items()}
+    table_ = spark.createDataFrame(
+        [(x, [f for f in NOTICES if x in told[f]], *w) for x, w in sorted(weights.items())],
+        "gram string, owners array<string>, " + ", ".join(f"w{c} double" for c in range(len(FAMILIES))),
+    )
     grams = F.expr(
         "array_distinct(flatten(transform(array(1, 2, 3), n -> CASE WHEN size(w) >= n THEN "
         "transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' ')) ELSE array() END)))"
     )
-    each = distinct.select("paragraph", F.split("paragraph", " ").alias("w")).select("paragraph", F.explode(grams).alias("gram"))
-    # the fixed notices bound the table of weights
-    sums = each.join(F.broadcast(table_), "gram").groupBy("paragraph").agg(*(F.sum(f"w{c}").alias(f"w{c}") for c in range(len(FAMILIES))))
-    scores = F.array(*(F.struct((F.col(f"w{c}") + F.lit(bias[c])).alias("s"), F.lit(f).alias("f")) for c, f in enumerate(FAMILIES)))
-    best = sums.select("paragraph", scores.alias("a")).withColumn("_b", F.array_max("a"))
-    total = F.expr(f"aggregate(a, 0D, (t, x) -> t + exp((x.s - _b.s) / {heat!r}D))")
-    found = best.select("paragraph", F.col("_b.f").alias("family"), (F.lit(1.0) / total).alias("probability"))
-    found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
+    scores = F.array(*(F.struct((F.col(f"w{c}") + F.lit(bias[c])).alias("s"), F.lit(f).alias("f"), F.lit(c).alias("c")) for c, f in enumerate(FAMILIES)))
+    odds = lambda x: 1 / (1 + F.exp(-x / heat))
+    left, found = distinct.select("paragraph", F.array().cast("array<string>").alias("said"), F.lit(None).cast("array<double>").alias("full")), None
+    for _ in NOTICES:
+        each = left.select("paragraph", "said", "full", F.split("paragraph", " ").alias("w")).select("paragraph", "said", "full", F.explode(grams).alias("gram"))
+        # the fixed notices bound the table of weights
+        meet = each.join(F.broadcast(table_), "gram").where(~F.arrays_overlap("said", "owners"))
+        sums = meet.groupBy("paragraph").agg(F.first("said").alias("said"), F.first("full").alias("full"), *(F.sum(f"w{c}").alias(f"w{c}") for c in range(len(FAMILIES))))
+        # of the first round, in which nothing is left out
+        best = sums.select("paragraph", "said", scores.alias("a"), F.coalesce("full", F.transform(scores, lambda x: x["s"])).alias("full")).withColumn(
+            "_b", F.expr(f"array_max(filter(a, x -> x.f <> '{UNKNOWN}' AND NOT array_contains(said, x.f) AND full[x.c] >= full[0]))")
+        )
+        own = odds(F.col("_b.s") - F.element_at(F.array(*map(F.lit, bias)), F.col("_b.c") + 1) - F.col("a")[0]["s"] + bias[0])
+        named = best.select(
+            "paragraph", "said", "full", F.col("_b.f").alias("family"), odds(F.expr("full[_b.c] - full[0]")).alias("probability"), own.alias("own")
+        ).where((F.col("probability") >= SURE) & (F.col("own") >= OWN))
+        named = durable(named)
+        some = named.select("paragraph", "family", "probability")
+        found = some if found is None else found.union(some)
+        if named.limit(1).count() == 0:
+            break
+        left = named.select("paragraph", F.concat("said", F.array("family")).alias("said"), "full")
     pairs = lambda words: sorted(set(zip(words, words[1:])))
     notices = spark.createDataFrame(
         [(f, [" ".join(p) for p in pairs(_words(x))]) for f, some in NOTICES.items() for x in some], "family string, notice array<string>"
@@ -268,11 +293,15 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     greatest) are of paragraphs taken for some family; confirmed: whether any is.
     """
     found = durable(paragraphs(docs, key, text, model()[3]).select(key, F.array_join("words", " ").alias("paragraph")).groupBy(key, "paragraph").agg(F.count("*").alias("_n")))
-    kinds = durable(classify(found.select("paragraph").distinct()))
+    kinds = durable(
+        classify(found.select("paragraph").distinct()).groupBy("paragraph").agg(
+            F.collect_set(F.when(F.col("cover") >= COVER, F.col("family"))).alias("families"), F.max("probability").alias("probability")
+        )
+    )
     named = found.join(kinds, "paragraph").groupBy(key).agg(
-        F.array_sort(F.collect_set(F.when(F.col("cover") >= COVER, F.col("family")))).alias("families"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("families"),
         F.sum("_n").alias("n_paragraphs"), F.max("probability").alias("probability"),
-        F.max(F.col("cover") >= COVER).alias("confirmed"),
+        F.max(F.size("families") > 0).alias("confirmed"),
     )
     return docs.select(key).join(named, key, "left").select(
         key, F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),

@@ -336,6 +336,25 @@ def test_licences(spark, texts):
     assert licenses.license_scan(documents(spark, ["x"]).where("false")).collect() == []
 
 
+def test_a_paragraph_names_every_licence(spark):
+    prose = " ".join(["some words of prose"] * 10)
+    cases = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0 OR GPL-3.0-or-later": ["Apache-2.0", "GPL", "MIT"],
+        "Dual-licensed under the MIT License and the Apache License, Version 2.0": ["Apache-2.0", "MIT"],
+        f"Released under the ISC License. {prose} Licensed under CC BY-SA 4.0. {prose} All rights reserved.": ["CC-BY-SA", "ISC", "all rights reserved"],
+        "Licensed under the GNU General Public License, version 3. Licensed under the GNU Lesser General Public License, version 2.1.": ["GPL", "LGPL"],
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0", "MIT"],
+        # look-alikes of one notice
+        "Licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC"],
+        "SPDX-License-Identifier: AGPL-3.0-only": ["AGPL"],
+    }
+    got = {r["doc_id"]: r for r in licenses.license_scan(documents(spark, cases)).collect()}
+    assert [got[i]["families"] for i in range(len(cases))] == list(cases.values())
+    assert all(r["n_paragraphs"] == 1 and r["confirmed"] for r in got.values())
+
+
 # Media --------------------------------------------------------------------------------------
 
 
