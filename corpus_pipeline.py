@@ -71,7 +71,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Classifiers and tokenizers are beyond SQL; tests hold run() against a brute-force version.
+#: Classifiers and tokenizers are beyond SQL; tests hold run() against its stages, and the stages' operators against brute force or held-out labels.
 ORACLE_SQL = None
 
 
