@@ -6,9 +6,11 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Python workers take large arrays straight from the system, so that freeing gives them back.
+ALLOCATION = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
-    """Put the package's parent folder on the Python workers' path."""
+    """Put the package's parent folder on the Python workers' path, and set how they take memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    env.update(ALLOCATION)
 
 
 _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and has no executors of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="stratum-"))
     return _OWN[0]
@@ -74,8 +83,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): the least id reachable.
 
     Large star and small star steps alternate until the edges stop changing.
-    Each step aggregates with a minimum before it joins, so a node with very
-    many links costs one row per link and no task holds a node's list.
+    Each step aggregates with a minimum before it joins; the joined side then
+    has one row for a node, so that a node with very many links is a skewed join
+    of short rows, which adaptive execution splits, and never a list.
     Rounds grow with the logarithm of the longest path.
     """
     edges = durable(
@@ -166,20 +176,42 @@ def pool_adjacent(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.repeat([m for _, m, _ in out], [n for _, _, n in out])
 
 
-def pieces(batches, rows: int = 1024):
-    """Record batches cut to at most ``rows``, so that few texts are Python strings at a time.
-
-    At the end of a task freed memory goes back to the system: a worker that
-    waits for another task keeps no more than its caches.
-    """
+def pieces(batches, rows: int = 1024, size: int = 1 << 23):
+    """Record batches cut to at most ``rows`` and, unless one row is larger, ``size`` bytes of text, so that few texts are Python strings at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
+        lengths = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        total = np.cumsum(sum(lengths), dtype=np.int64) if lengths else np.zeros(batch.num_rows, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = total[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def tidied(f: Callable) -> Callable:
+    """``f`` over a task's batches; freed memory goes back to the system when it ends, so that a waiting worker keeps no more than its caches."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return run
+
+
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept(name: str, key: object, make: Callable):
+    """A cache of this Python worker for ``key``; the worker keeps one cache only, whatever operators it serves."""
+    if name not in _kept or _kept[name][0] != key:
+        _kept.clear()
+        _kept[name] = (key, make())
+    return _kept[name][1]
 
 
 def string_column(batch, name: str) -> list[str]:

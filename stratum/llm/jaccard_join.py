@@ -1,14 +1,21 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, by vertical partitioning.
 
-A document is the set of hashes of its distinct 5-word shingles (64 bits). One
-global order holds for all documents: shingles by hash, and after them those
-that the corpus repeats most (a bounded table gathered from all documents). Two
-sets at the threshold t share a member of their first n - ceil(t n) + 1 in that
-order, and of the smaller set the first n - ceil(2 t n / (1 + t)) + 1 do (its
-head), so this prefix is the fragment that finds candidates. To decide them,
-hash ranges cut every set into ``FRAGMENTS`` fragments; partial overlaps are
-counted for each fragment on its own and summed per pair. The first ``FIRST``
-fragments and the sizes of the others rule most pairs out.
+A document is the set of its distinct 5-word shingles. Words are hashed to 128
+bits by keyed BLAKE2b, shingles are 64 bits mixed from those of their words, and
+a set is named by 128 bits of all its shingles. (Two shingles of a compared pair
+share 64 bits with a chance of |A| |B| / 2^64, some 10^-13 for thousands.)
+
+One global order holds for all documents: shingles by hash, and after them those
+that the corpus repeats most (a bounded table gathered from all documents, the
+most frequent last). It is cut into ``FRAGMENTS`` fragments: ranges of hashes,
+and the frequent ones as the last. Every set is cut so, each fragment of two sets
+meets on its own and its partial overlap is counted, and partial overlaps are
+summed per pair. The first ``FIRST`` fragments and the sizes of the others rule
+most pairs out before the rest is sent.
+
+Only pairs that share a member of their prefixes in that order are counted: two
+sets at the threshold t share a member of their first n - ceil(t n) + 1, and of
+the smaller set the first n - ceil(2 t n / (1 + t)) + 1 do (its head).
 
 Documents with equal sets are one node. A node's class is what is asked for,
 so links inside a class that is already known are not counted again:
@@ -24,29 +31,43 @@ so links inside a class that is already known are not counted again:
 
 After step 3 every pair that shares a prefix member is compared or has one
 class, so no link between classes is lost, and a group of n near copies costs
-about n comparisons.
+about n comparisons. No task holds a list: frequent members are dealt to several
+tasks by the set's name (``HOT``), and a list's least and largest class and its
+centre are partial aggregates that are joined back.
 
 Texts without words, null texts among them, have empty sets and are alone in
 their class. Equal rows are kept and share a class. Fewer than five words are
-one shingle.
+one shingle. Rows with a null key link like others; such a class is named by its
+least key that is not null, and is null without one. Long texts are cut into
+slices at white space; a task holds the hashes of one whole text.
 """
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_hashes, components, durable, grouped, importable, pieces, string_column, table
+from .common import components, durable, importable, kept, pieces, string_column, table, tidied
 
 WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
 #: Fragments that are counted first, for all candidates.
 FIRST = 2
-COMMON = 1 << 19
+#: Shingles that the corpus repeats most.
+COMMON = 1 << 17
+#: A shingle with more occurrences is dealt to several tasks.
+HOT = 4096
+#: Words whose hashes a worker keeps, and their longest; bytes of a slice of a long text.
+KNOWN = 1 << 17
+LONG = 64
+SLICE = 1 << 20
 #: Most ids that a broadcast may hold; beyond, the join is shuffled.
 BROADCAST = 1 << 19
 #: Partners of a node in a round of step 2, and most such rounds.
@@ -56,156 +77,259 @@ ROUNDS = 3
 CHUNK = 64
 
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_space = np.zeros(256, bool)
-_space[[32, *range(9, 14)]] = True
-
-def raw_shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """For each text the hashes (uint64) of its shingles, with repetition and in their order.
-
-    One pass over the bytes of all texts.
-    """
-    raw = [x.encode("utf-8", "surrogatepass").lower() for x in texts]  # of bytes: A-Z only
-    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    blank = _space[data]
-    turns = np.flatnonzero(np.diff(blank, prepend=True, append=True))
-    starts, ends = turns[::2], turns[1::2]
-    h = byte_hashes(data, starts, ends)
+_blank = re.compile(rb"[\x20\x09-\x0d]")
+_none = np.zeros(0, np.uint64)
+
+
+class Words:
+    """128-bit hashes of words, as two lanes, kept in this worker for the words that come often."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.lanes = np.zeros((2, 1 << 14), np.uint64)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        try:
+            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self._learn(words)
+            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        out = self.lanes[:, at]
+        if len(self.number) > KNOWN:
+            self.__init__()
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        new = set(words).difference(self.number)
+        first = len(self.number)
+        made = np.frombuffer(b"".join([blake2b(w, digest_size=16, key=b"shingle words").digest() for w in new]), np.uint64).reshape(-1, 2).T
+        if first + len(new) > self.lanes.shape[1]:
+            grown = np.zeros((2, 2 * (first + len(new))), np.uint64)
+            grown[:, :first] = self.lanes[:, :first]
+            self.lanes = grown
+        self.lanes[:, first : first + len(new)] = made
+        self.number.update(zip(new, range(first, first + len(new))))
+
+
+def _split(raw: bytes) -> list[bytes]:
+    """Words; very long ones by a digest, so that no cache holds them."""
+    words = raw.split()  # of bytes: at 32 and 9 to 13 only
+    if len(raw) > LONG * len(words):
+        words = [w if len(w) <= LONG else b"\x20" + blake2b(w, digest_size=32).digest() for w in words]
+    return words
+
+
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = max(0, h.shape[1] - size + 1)
+    out = np.full(n, size, np.uint64)
     with np.errstate(over="ignore"):
-
-        def windows(size: int, first: int, last: int) -> np.ndarray:
-            out = np.full(max(0, last - first - size + 1), size, np.uint64)
-            for k in range(size):
-                out *= np.uint64(0x2545F4914F6CDD1D)
-                out += h[first + k : first + k + len(out)] * _odd[k % len(_odd)]
+        for k in range(size if n else 0):
+            for lane in h:
+                out ^= lane[k : k + n]
+                out *= np.uint64(0x9E3779B97F4A7C15)
                 out ^= out >> np.uint64(32)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-            out ^= out >> np.uint64(29)
-            return out
-
-        whole = windows(words, 0, len(h))
-        edges = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
-        out = []
-        for first, last in zip(edges, edges[1:]):
-            n = last - first
-            out.append(whole[first : last - words + 1] if n >= words else windows(n, first, last) if n else whole[:0])
     return out
 
 
-def shingle_sets(texts: list[str], words: int = WORDS, size: int = 1 << 19):
-    """Sorted distinct shingle hashes of each text, texts of about ``size`` characters at a time."""
-    for group in grouped(texts, size):
-        for x in raw_shingles(group, words):
-            yield np.unique(x)
-
-
-def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON) -> np.ndarray:
-    """The shingles that occur in most documents, rarest of them first: at most ``size``.
+def _long(raw: bytes, words: int, known: Words) -> np.ndarray:
+    """Distinct shingles of a long text, slice by slice."""
+    at, seen, held, parts = 0, 0, np.zeros((2, 0), np.uint64), []
+    while at < len(raw):
+        found = _blank.search(raw, min(at + SLICE, len(raw)))
+        to = found.start() if found else len(raw)
+        mine = known.hashes(_split(raw[at:to]))
+        seen += mine.shape[1]
+        held = np.concatenate([held, mine], axis=1)
+        parts.append(np.unique(_windows(held, words)))
+        held, at = held[:, max(0, held.shape[1] - words + 1) :], to + 1
+    if seen < words:
+        return _windows(held, seen) if seen else _none
+    return np.unique(np.concatenate(parts))
+
+
+def raw_shingles(texts: list[str], words: int = WORDS):
+    """For each text the hashes (uint64) of its shingles; those of short texts in their order and with repetition."""
+    known = kept("words", None, Words)
+    group: list[list[bytes]] = []
+
+    def flush():
+        h = known.hashes([w for x in group for w in x])
+        whole, at = _windows(h, words), 0
+        for x in group:
+            n = len(x)
+            yield whole[at : at + n - words + 1] if n >= words else _windows(h[:, at : at + n], n) if n else _none
+            at += n
+        group.clear()
+
+    n = 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
+        if len(raw) > SLICE:
+            yield from flush()
+            n = 0
+            yield _long(raw, words, known)
+            continue
+        group.append(_split(raw))
+        n += len(group[-1])
+        if n > 1 << 15:
+            yield from flush()
+            n = 0
+    yield from flush()
+
+
+def shingle_sets(texts: list[str], words: int = WORDS):
+    """Sorted distinct shingle hashes of each text."""
+    return map(np.unique, raw_shingles(texts, words))
+
+
+def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur most, rarest of them first, at most ``size``, and about how often each does.
 
     Every partition counts its shingles in blocks and hands over a bounded
-    summary. The table sets an order only; any table gives the same result.
+    summary. The table sets an order, and how rows are dealt; any table gives
+    the same result.
     """
-    block, cells = 1 << 21, 1 << 22
+    block, cells, held_most = 1 << 20, 1 << 20, 4 * size
 
     def summarise(batches):
         held, n = [], 0
-        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        names, counts = _none, np.zeros(0, np.int64)
 
         def merge():
             nonlocal names, counts, held, n
             x = np.concatenate(held)
-            place = (x >> np.uint64(42)).astype(np.int64)
-            often = np.bincount(place, minlength=cells)
+            held, n = [], 0
+            place = (x >> np.uint64(44)).astype(np.int32)
             # a shingle that occurs three times is in a cell with three or more
-            full = 3
-            x, c = np.unique(x[often[place] >= full], return_counts=True)
-            x, c = x[c > 2], c[c > 2]
-            both, at = np.unique(np.concatenate([names, x]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([counts, c]), len(both)).astype(np.int64)
-            if len(both) > 4 * size:
-                top = np.argpartition(-total, 4 * size)[: 4 * size]
-                both, total = both[top], total[top]
-            names, counts, held, n = both, total, [], 0
+            x = np.sort(x[np.bincount(place, minlength=cells)[place] > 2])
+            first = np.flatnonzero(np.diff(x, prepend=~x[:1]))
+            c = np.diff(first, append=len(x))
+            x, c = x[first[c > 2]], c[c > 2]
+            both, counts = np.concatenate([names, x]), np.concatenate([counts, c])
+            order = np.argsort(both, kind="stable")
+            both, counts = both[order], counts[order]
+            first = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+            names, counts = both[first], np.add.reduceat(counts, first) if len(first) else counts
+            if len(names) > held_most:
+                top = np.sort(np.argpartition(-counts, held_most)[:held_most])
+                names, counts = names[top], counts[top]
 
         for batch in pieces(batches):
-            for group in grouped(string_column(batch, text), 1 << 19):
-                x = raw_shingles(group, words)
-                held += x
-                n += sum(map(len, x))
+            for x in raw_shingles(string_column(batch, text), words):
+                held.append(x)
+                n += len(x)
                 if n > block:
                     merge()
         if held:
             merge()
-        top = np.argsort(-counts, kind="stable")[: size // 8]
+        top = np.argsort(-counts, kind="stable")[: size // 2]
         yield pa.RecordBatch.from_arrays([pa.array(names[top].view(np.int64)), pa.array(counts[top])], ["x", "n"])
 
     top = (
         docs.select(text)
-        .mapInArrow(summarise, "x long, n long")
+        .mapInArrow(tidied(summarise), "x long, n long")
         .groupBy("x")
         .agg(F.sum("n").alias("n"))
         .where("n >= 8")
         .orderBy(F.desc("n"), "x")
         .limit(size)
-        .select("x")
         .toArrow()
     )
-    return top.column("x").to_numpy().astype(np.int64).view(np.uint64)[::-1].copy()
+    names, counts = (top.column(c).to_numpy().astype(np.int64)[::-1].copy() for c in ("x", "n"))
+    return names.view(np.uint64), counts
+
+
+def set_name(x: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set, as two signed numbers."""
+    raw = blake2b(x.tobytes(), digest_size=16, key=b"shingle sets").digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
 
+class _Order:
+    """Sets in the global order."""
 
-def set_id(x: np.ndarray) -> int:
-    import xxhash
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        order = np.argsort(names, kind="stable")
+        self.names, self.rank, self.counts = names[order], order.astype(np.int32), counts[order]
 
-    return xxhash.xxh3_64_intdigest(x.tobytes(), len(x)) - (1 << 63)
+    def split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members that aren't frequent, by hash; frequent ones, the most frequent last; and how often those are."""
+        if not len(self.names):
+            return x, _none, np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.names, x), len(self.names) - 1)
+        known = self.names[at] == x
+        late = at[known]
+        late = late[np.argsort(self.rank[late], kind="stable")]
+        return x[~known], self.names[late], self.counts[late]
 
 
-def shingle_prefixes(docs: DataFrame, common: np.ndarray, *, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(key, sid, n, prefix): the set's id and size, and its prefix where this task meets the set first."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable").astype(np.int64)))
+def shingle_prefixes(docs: DataFrame, order, *, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(key, sid, s2, n, prefix, deal): the set's name and size, and its prefix where this task meets the set first.
+
+    deal: -1, or for a frequent member the one of its parts that the set falls in.
+    """
+
+    hot = HOT
 
     def cut(batches):
-        names, rank = shared.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in pieces(batches):
-            sids, sizes, prefixes = [], [], []
+            names, sizes, prefixes, deals = [], [], [], []
             for x in shingle_sets(string_column(batch, text), words):
                 n = len(x)
-                sid = set_id(x)
-                sids.append(sid)
+                name = set_name(x)
+                names.append(name)
                 sizes.append(n)
-                if not n or sid in seen:
+                if not n or name in seen:
                     prefixes.append(None)
+                    deals.append(None)
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
-                seen.add(sid)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
-                    known = names[at] == x
-                    if known.any():
-                        late = x[known][np.argsort(rank[at[known]], kind="stable")]
-                        x = np.concatenate([x[~known], late])
-                prefixes.append(x[: n - -(-percent * n // 100) + 1].view(np.int64))
+                seen.add(name)
+                rare, often, counts = order.value.split(x)
+                take = n - -(-percent * n // 100) + 1
+                some = often[: max(0, take - len(rare))]
+                parts = counts[: len(some)] // hot + 1
+                prefixes.append(np.concatenate([rare[:take], some]).view(np.int64))
+                deals.append(np.concatenate([np.full(min(take, len(rare)), -1, np.int32), np.where(parts > 1, name[1] % parts, -1).astype(np.int32)]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                [key, "sid", "n", "prefix"],
-            )
+                [
+                    batch.column(key), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.array(prefixes, pa.list_(pa.int64())), pa.array(deals, pa.list_(pa.int32())),
+                ],
+                [key, "sid", "s2", "n", "prefix", "deal"],
+            )
 
     return docs.select(key, text).mapInArrow(
-        cut, f"`{key}` {docs.schema[key].dataType.simpleString()}, sid long, n long, prefix array<long>"
+        tidied(cut), f"`{key}` {docs.schema[key].dataType.simpleString()}, sid long, s2 long, n long, prefix array<long>, deal array<int>"
     )
 
 
-def set_fragments(docs: DataFrame, *, key: str, text: str, words: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """(sid, part, members, sizes): every set of (key, text, sid), cut by hash ranges; sizes are of all its fragments."""
+def _parted(rows: DataFrame) -> DataFrame:
+    """Rows whose ``sid`` is one set's: of different sets that share their first 64 bits each gets another number."""
+    while True:
+        names = rows.where("n > 0").groupBy("sid").agg(F.min("s2").alias("_a"), F.max("s2").alias("_b"))
+        shared = [r["sid"] for r in names.where("_a <> _b").select("sid").collect()]  # about N^2 / 2^65 of N sets
+        if not shared:
+            return rows
+        rows = durable(rows.withColumn("sid", F.when(F.col("sid").isin(shared), F.xxhash64("sid", "s2")).otherwise(F.col("sid"))))
+
+
+def set_fragments(docs: DataFrame, order, *, words: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """(sid, part, members, sizes): every set of (text, sid, s2), cut in the global order; sizes are of all its fragments."""
 
     def cut(batches):
-        edges = (np.arange(1, fragments, dtype=np.float64) / fragments * 2.0**64).astype(np.uint64)
+        edges = (np.arange(1, fragments - 1, dtype=np.float64) / (fragments - 1) * 2.0**64).astype(np.uint64)
         for batch in pieces(batches):
             sids, parts, members, sizes = [], [], [], []
-            for sid, y in zip(batch.column("sid").to_pylist(), shingle_sets(string_column(batch, text), words)):
-                if set_id(y) != sid:  # another text under an equal key
+            wanted = zip(batch.column("sid").to_pylist(), batch.column("s2").to_pylist())
+            for (sid, s2), y in zip(wanted, shingle_sets(string_column(batch, "text"), words)):
+                if set_name(y)[1] != s2:  # another text under an equal key
                     continue
-                cut_up = np.split(y, np.searchsorted(y, edges))
+                rare, often, _ = order.value.split(y)
+                cut_up = [*np.split(rare, np.searchsorted(rare, edges)), often]
                 size = [len(x) for x in cut_up]
                 for part, x in enumerate(cut_up):
                     sids.append(sid)
@@ -217,7 +341,7 @@ def set_fragments(docs: DataFrame, *, key: str, text: str, words: int, fragments
                 ["sid", "part", "members", "sizes"],
             )
 
-    return docs.select("sid", text).mapInArrow(cut, "sid long, part int, members array<long>, sizes array<int>")
+    return docs.select("sid", "s2", "text").mapInArrow(tidied(cut), "sid long, part int, members array<long>, sizes array<int>")
 
 
 def _close(a, b, percent: int):
@@ -284,22 +408,22 @@ def _chunked(nodes: DataFrame, centres: DataFrame) -> DataFrame:
     return both.select(*nodes.columns, F.struct(F.col("_c").alias("centre"), F.coalesce(piece, F.lit(0)).alias("piece")).alias("chunk"))
 
 
-def _lists(classed: DataFrame, percent: int) -> DataFrame:
-    """(token, at, sid, n, hub, class[, chunk]) of the lists that hold more than one class."""
+def _lists(classed: DataFrame) -> DataFrame:
+    """(token, at, sid, n, hub, class[, chunk], size, centre) of the lists that hold more than one class, with their lengths and most central nodes."""
     names = [c for c in classed.columns if c != "tokens"]
     each = classed.select(F.explode("tokens").alias("_t"), *names).select("_t.token", "_t.at", *names)
-    token = Window.partitionBy("token")
-    mixed = each.select("*", F.min("class").over(token).alias("_lo"), F.max("class").over(token).alias("_hi")).where("_lo <> _hi")
-    return mixed.drop("_lo", "_hi")
+    of_list = each.groupBy("token").agg(
+        F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.count("*").alias("size"), F.max(F.struct("hub", "class", "sid", "n")).alias("centre")
+    )
+    # one short row for each list: a long list is a skewed join
+    return each.join(of_list.where("_lo <> _hi").select("token", "size", "centre"), "token")
 
 
 def _star(lists: DataFrame, percent: int) -> DataFrame:
     """Each node with the most central node of the list that most of its prefix shares."""
-    centre = F.max(F.struct("hub", "class", "sid", "n")).over(Window.partitionBy("token"))
     found = (
-        lists.withColumn("_z", centre)
-        .where((F.col("class") != F.col("_z.class")) & _close(F.col("n"), F.col("_z.n"), percent))
-        .groupBy(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("_z.sid").alias("b"), F.col("_z.n").alias("nb"))
+        lists.where((F.col("class") != F.col("centre.class")) & _close(F.col("n"), F.col("centre.n"), percent))
+        .groupBy(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("centre.sid").alias("b"), F.col("centre.n").alias("nb"))
         .agg(F.count("*").alias("_k"))
     )
     best = found.groupBy("a", "na").agg(F.max(F.struct("_k", "b", "nb")).alias("_m"))
@@ -307,11 +431,14 @@ def _star(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _neighbours(lists: DataFrame, percent: int, seed: int, most: int = PARTNERS) -> DataFrame:
-    """Each node with at most ``most`` of the nodes before it when lists are shuffled, each list in its own way."""
-    row = Window.partitionBy("token").orderBy(F.xxhash64("token", "sid", F.lit(seed)), "sid")
+    """Each node with at most ``most`` of the nodes before it when lists are shuffled, each list in its own way; long lists in parts."""
+    shuffled = F.xxhash64("token", "sid", F.lit(seed))
+    part = F.pmod(F.xxhash64("sid", "token", F.lit(seed)), F.ceil(F.col("size") / HOT))
+    row = Window.partitionBy("token", "_part").orderBy("_h", "sid")
     last = F.lag(F.struct("class", "sid", "n")).over(row)
     found = (
-        lists.withColumn("_z", last)
+        lists.select("token", "sid", "n", "class", shuffled.alias("_h"), part.alias("_part"))
+        .withColumn("_z", last)
         .where((F.col("class") != F.col("_z.class")) & _close(F.col("n"), F.col("_z.n"), percent))
         .select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("_z.sid").alias("b"), F.col("_z.n").alias("nb"))
         .distinct()
@@ -334,7 +461,6 @@ def _rest(classed: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     head = F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
     spots = (
         lists.select("token", "n", "chunk", head.alias("head"), (F.col("n") - F.col("at")).alias("room"))
-        .repartition("token")
         .groupBy("token", "chunk")
         .agg(F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.count("*").alias("k"))
     )
@@ -368,7 +494,7 @@ def _rest(classed: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "na", "nb"])
 
-    return both.mapInArrow(compare, "a long, b long, na long, nb long")
+    return both.mapInArrow(tidied(compare), "a long, b long, na long, nb long")
 
 
 def _may_reach(n: int, x: dict[int, int], m: int, y: dict[int, int], percent: int) -> bool:
@@ -393,17 +519,21 @@ def jaccard_classes(
     """(key, n_shingles, component_id) of every row of ``docs``; see the module's notes."""
     spark = docs.sparkSession
     importable(spark)
-    common = common_shingles(docs, text, words)
-    rows = durable(shingle_prefixes(docs, common, key=key, text=text, words=words, percent=percent))
-    token = Window.partitionBy("token")
+    order = spark.sparkContext.broadcast(_Order(*common_shingles(docs, text, words)))  # at most COMMON entries
+    rows = _parted(durable(shingle_prefixes(docs, order, key=key, text=text, words=words, percent=percent)))
+    each = rows.where("prefix is not null").select(F.posexplode(F.arrays_zip("prefix", "deal")).alias("at", "_z"), "sid", "n")
+    each = each.select("at", F.col("_z.prefix").alias("token"), F.col("_z.deal").alias("deal"), "sid", "n")
+    # of members that are dealt to several tasks, at most COMMON
+    dealt = durable(each.where("deal >= 0").groupBy("token").agg(F.count("*").alias("_n"), F.min("sid").alias("_min"), F.max("sid").alias("_max")))
+    token = Window.partitionBy("token", "deal")
     shared = (
-        rows.where("prefix is not null")
-        .select(F.posexplode("prefix").alias("at", "token"), "sid", "n")
-        .select(
-            "*", F.lag("sid").over(token.orderBy("sid")).alias("_last"), F.count("*").over(token).alias("_df"),
+        each.select(
+            "*", F.lag("sid").over(token.orderBy("sid")).alias("_last"), F.count("*").over(token).alias("_k"),
             F.min("sid").over(token).alias("_lo"), F.max("sid").over(token).alias("_hi"),
         )
-        .where("_lo <> _hi AND (_last IS NULL OR _last <> sid)")
+        .join(F.broadcast(dealt), "token", "left")
+        .where("coalesce(_min, _lo) <> coalesce(_max, _hi) AND (_last IS NULL OR _last <> sid)")
+        .withColumn("_df", F.coalesce("_n", "_k"))
     )
     # what a node shares is no longer than its prefix
     nodes = durable(
@@ -411,7 +541,9 @@ def jaccard_classes(
             F.first("n").alias("n"), F.collect_list(F.struct("token", "at")).alias("tokens"), (F.sum(F.log2("_df")) / F.first("n")).alias("hub")
         )
     )
-    owners = durable(rows.where("n > 0").groupBy("sid").agg(F.min(key).alias(key)).join(nodes.select("sid"), "sid"))
+    # some row of a set tells where its text is found again
+    sets = rows.where("n > 0").groupBy("sid").agg(F.first("s2").alias("s2"), F.min(key).alias("_key"))
+    owners = durable(sets.join(nodes.select("sid"), "sid"))
 
     def decided(pairs: DataFrame) -> tuple[DataFrame, int, int]:
         """The links among pairs, and the numbers of both; sets are made again from the texts of their nodes."""
@@ -429,14 +561,16 @@ def jaccard_classes(
     def fragments_of(pairs: DataFrame, count: int, which: str) -> DataFrame:
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         wanted = durable(owners.join(sids, "sid"))
-        chosen = docs.select(key, text).join(F.broadcast(wanted) if count <= BROADCAST else wanted, key)
-        return set_fragments(chosen, key=key, text=text, words=words).where(which.format(FIRST))
+        every = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
+        chosen = every.join(F.broadcast(wanted) if count <= BROADCAST else wanted, F.col("_k").eqNullSafe(F.col("_key")))
+        return set_fragments(chosen, order, words=words).where(which.format(FIRST))
 
     found, classes, step, good = None, None, 0, True
     while True:
         last = step > ROUNDS or (step > 0 and good)
         classed = durable(_classed(nodes if step == 0 else _chunked(nodes, centres), classes))
-        lists = durable(_lists(classed, percent))
+        lists = _lists(classed)
+        lists = durable(lists.drop("centre") if step else lists)
         if last:
             pairs = _rest(classed, lists, percent)
         else:
@@ -453,14 +587,13 @@ def jaccard_classes(
         # centres that most nodes link with, or partners that hardly any do, leave little to settle before step 3
         good = 4 * made >= tried if step == 0 else 20 * made < tried
         step += 1
-    # the class is named by its least key
+    # the class is named by its least key; both joins stand alone in their stages, so that skewed ones are split
     least = rows.where("n > 0").groupBy("sid").agg(F.min(key).alias("_own"), F.count("*").alias("_rows"))
-    named = least.join(classes.select(F.col("id").alias("sid"), "component"), "sid", "left").select(
-        "sid", "_own", "_rows", F.coalesce("component", "sid").alias("_c")
+    named = durable(
+        least.join(classes.select(F.col("id").alias("sid"), "component"), "sid", "left").select("sid", "_own", "_rows", F.coalesce("component", "sid").alias("_c"))
     )
-    named = durable(named)
-    lows = named.groupBy("_c").agg(F.min("_own").alias("_least"), F.sum("_rows").alias("_all")).where("_all > 1")
-    of_set = named.join(lows, "_c").select("sid", "_least")
+    lows = named.groupBy("_c").agg(F.min("_own").alias("_least"), F.sum("_rows").alias("_all")).where("_all > 1").select("_c", "_least")
+    of_set = durable(named.join(durable(lows), "_c").select("sid", "_least"))
     return (
         rows.select(key, "sid", "n")
         .join(of_set, "sid", "left")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import durable, importable, pieces, string_column, table
+from .common import durable, importable, pieces, string_column, table, tidied
 from .tokens import worker
 
 CAPACITY = 2048
@@ -190,7 +190,7 @@ def cut_pieces(
                     arrays.append(pa.array(cols[7], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return docs.select(key, text).mapInArrow(cut, schema)
+    return docs.select(key, text).mapInArrow(tidied(cut), schema)
 
 
 def pack(

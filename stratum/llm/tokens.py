@@ -5,9 +5,11 @@ cut; a cut lies before an ASCII space that follows a character which is white
 space under no definition. Byte-level BPE never merges across such a cut, so a
 text's ids are the concatenated ids of its units.
 
-Units are found and hashed (64 bits, and the length) with numpy over the bytes
-of many texts at once and looked up in an open-addressing table of arrays.
-Tier one of it holds frequent units, gathered by bounded per-partition
+Units are found and hashed with numpy over the bytes of many texts at once and
+looked up in an open-addressing table of arrays. The hash only finds an entry:
+its bytes are compared with the unit's, and units whose hash belongs to others
+are encoded by themselves.
+Tier one of the table holds frequent units, gathered by bounded per-partition
 summaries over all documents and broadcast (at most ``FREQUENT`` entries of at
 most ``UNIT`` bytes). Tier two is what the tokenizer adds in each Python
 worker; at ``CACHED`` entries the half that was used most stays.
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, grouped, importable, pieces, string_column, table
+from .common import byte_hashes, grouped, importable, kept, pieces, string_column, table, tidied
 
 FREQUENT = 65_536
 SUMMARY = 8_192
 UNIT = 48
 CACHED = 700_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 GROUP = 1 << 16
 LIMIT = 1024
 
@@ -115,10 +117,10 @@ class Table:
 class Units:
     """Ids of units, or their number, in this worker.
 
-    ``first`` (hashes, numbers of ids) stays for good when only numbers are asked for.
+    ``first`` (units joined by spaces, numbers of ids) stays for good when only numbers are asked for.
     """
 
-    def __init__(self, path: str, counts: bool, first: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, path: str, counts: bool, first: tuple[bytes, np.ndarray] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -137,13 +139,26 @@ class Units:
         self.number, self.offset = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.hash, self.uses = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, "<u4")
-        if self.first is not None:
-            self._enter(self.first[0], self.first[1], None)
+        # bytes of every entry, one after another
+        self.spelt, self.begin, self.long = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.written = 0
+        if self.first is not None and len(self.first[1]):
+            data = np.frombuffer(self.first[0] + b" ", np.uint8)
+            ends = np.flatnonzero(data == 32)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            h = byte_hashes(data, starts, ends)
+            _, pick = np.unique(h, return_index=True)  # of units with one hash the first
+            self._enter(h[pick], self.first[1][pick], None, data, starts[pick], ends[pick])
         self.base = self.table.count
 
-    def _enter(self, hashes: np.ndarray, numbers: np.ndarray, ids: np.ndarray | None) -> None:
+    def _enter(self, hashes, numbers, ids, data, starts, ends) -> None:
         at = self.table.count
         self.table.add(hashes)
+        size = ends - starts
+        self.begin = _room(self.begin, at, self.written + np.cumsum(size) - size)
+        self.long = _room(self.long, at, size)
+        self.spelt = _room(self.spelt, self.written, data[_places(starts, size)])
+        self.written += int(size.sum())
         self.number = _room(self.number, at, numbers)
         self.hash = _room(self.hash, at, hashes)
         self.uses = _room(self.uses, at, np.zeros(len(hashes), np.int32))
@@ -160,8 +175,10 @@ class Units:
         if not self.counts:
             ends = np.cumsum(numbers, dtype=np.int64)
             ids = self.pool[np.repeat(self.offset[keep] - ends + numbers, numbers) + np.arange(ends[-1])]
+        data, starts = self.spelt, self.begin[keep]
+        ends = starts + self.long[keep]
         self._start()
-        self._enter(hashes, numbers, ids)
+        self._enter(hashes, numbers, ids, data, starts, ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -230,13 +247,37 @@ class Units:
             entry[new] = self.table.find(h[new])
         self.uses[entry] += 1
         number = self.number[entry]
+        other = self._other(entry, data, starts, ends)
+        alone = {}
+        if len(other):  # their hash is another unit's
+            plain = set(first.tolist()) if odd else set()
+            raw = data.tobytes()
+            for i in other.tolist():
+                name = raw[starts[i] : ends[i]].decode("utf-8", "surrogatepass")
+                alone[i] = self.encode([name if i in plain else " " + name])[0]
+                number[i] = len(alone[i])
         total = np.cumsum(number, dtype=np.int64)
         to = total[last - 1]
         if self.counts:
             return np.diff(to, prepend=0).tolist()
-        ids = self.pool[np.repeat(self.offset[entry] - total + number, number) + np.arange(total[-1])]
+        offset = self.offset[entry].astype(np.int64)
+        offset[other] = 0
+        ids = self.pool[np.repeat(offset - total + number, number) + np.arange(total[-1])]
+        for i, x in alone.items():
+            ids[total[i] - len(x) : total[i]] = x
         return np.split(ids, to[:-1])
 
+    def _other(self, entry, data, starts, ends) -> np.ndarray:
+        """Units whose entry holds other bytes."""
+        size = ends - starts
+        held = self.long[entry]
+        wrong = held != size
+        size = np.where(wrong, 0, size)
+        unlike = np.flatnonzero(data[_places(starts, size)] != self.spelt[_places(self.begin[entry], size)])
+        if len(unlike):
+            wrong[np.searchsorted(np.cumsum(size), unlike, "right")] = True
+        return np.flatnonzero(wrong)
+
     def _learn(self, data, starts, ends, h, new, odd: set[int]) -> None:
         raw = data.tobytes()
         spaced = [i for i in new.tolist() if i not in odd]
@@ -244,10 +285,16 @@ class Units:
         names = lambda some: [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
         if spaced:
             ids, numbers = self.encode_spaced(names(spaced))
-            self._enter(h[spaced], numbers, None if self.counts else ids)
+            self._enter(h[spaced], numbers, None if self.counts else ids, data, starts[spaced], ends[spaced])
         if alone:
             each = self.encode(names(alone))
-            self._enter(h[alone], np.array([len(x) for x in each]), None if self.counts else np.concatenate(each))
+            self._enter(h[alone], np.array([len(x) for x in each]), None if self.counts else np.concatenate(each), data, starts[alone], ends[alone])
+
+
+def _places(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, ..., start + size - 1 of each, in one array."""
+    total = np.cumsum(size, dtype=np.int64)
+    return np.repeat(starts - total + size, size) + np.arange(total[-1] if len(total) else 0)
 
 
 def _room(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
@@ -270,19 +317,13 @@ def _runs(units: list[str]):
             at = to
 
 
-_held: dict[tuple[str, bool], Units] = {}
-
-
-def worker(path: str, counts: bool, first: tuple[np.ndarray, np.ndarray] | None = None) -> Units:
+def worker(path: str, counts: bool, first: tuple[bytes, np.ndarray] | None = None) -> Units:
     """The units of this Python worker, kept between tasks as long as ``first`` is the same object."""
-    held = _held.get((path, counts))
-    if held is None or (first is not None and held.first is not first):
-        held = _held[path, counts] = Units(path, counts, first)
-    return held
+    return kept("units", (path, counts, id(first)), lambda: Units(path, counts, first))
 
 
-def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token counts of the most frequent units of all documents, at most ``size``.
+def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = FREQUENT) -> tuple[bytes, np.ndarray]:
+    """The most frequent units of all documents, joined by spaces, and their token counts; at most ``size``.
 
     Each partition counts its units by hash in blocks, keeps a bounded number
     of them, and hands over its ``SUMMARY`` most frequent; which units these
@@ -330,7 +371,7 @@ def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = F
 
     top = (
         docs.select(text)
-        .mapInArrow(summarise, "unit binary, n long")
+        .mapInArrow(tidied(summarise), "unit binary, n long")
         .groupBy("unit")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "unit")
@@ -340,10 +381,7 @@ def frequent_units(docs: DataFrame, path: str, text: str = "text", size: int = F
     units = Units(path, counts=True)
     names = [bytes(r["unit"]).decode("utf-8", "surrogatepass") for r in top]
     names = [x for x in names if not x[-1].isspace() and not any(y in x for y in units.special)]
-    data = np.frombuffer(b" ".join(x.encode("utf-8", "surrogatepass") for x in [*names, ""]), np.uint8)
-    ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) + 1 for x in names], dtype=np.int64) - 1
-    hashes = byte_hashes(data, np.concatenate([[0], ends[:-1] + 1])[: len(ends)], ends)
-    return hashes, units.encode_spaced(names)[1]
+    return b" ".join(x.encode("utf-8", "surrogatepass") for x in names), units.encode_spaced(names)[1]
 
 
 def count_tokens(
@@ -367,7 +405,7 @@ def count_tokens(
             )
 
     return docs.select(key, text).mapInArrow(
-        count, f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
+        tidied(count), f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
     )
 
 

@@ -77,6 +77,39 @@ def test_units_after_compaction_and_in_slices(monkeypatch, tokenizer):
         assert got == [len(x) for x in want] if counts else [x.tolist() for x in got] == want
 
 
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo 2^64 agree, whatever the odd base, from some length on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_units_with_one_hash_are_told_apart(tokenizer, n):
+    a, b = thue_morse(n)
+    some = [a, b, f"see {a}", f"see {b} {a}  {b}", f"{a} x {b} y {a}"]
+    for counts in (False, True):
+        units = tokens.Units(BPE, counts)
+        for texts in (some, some[::-1], [x for x in some for _ in range(2)]):
+            want = [ids_of(tokenizer, t) for t in texts]
+            got = units.of_many(texts)
+            assert (got == [len(x) for x in want]) if counts else ([x.tolist() for x in got] == want)
+
+
+def test_counts_of_colliding_units_long_texts_and_repeated_rows(spark, tokenizer):
+    a, b = thue_morse(2048)
+    rnd = random.Random(3)
+    long = " ".join(rnd.choice(WORDS) + rnd.choice(["", "é", " ", "\n"]) for _ in range(150_000))
+    assert len(long) > 2 * tokens.SLICE
+    some = [a, b, f"see {a}", f"see {b}", long, long, "x" * 300_000]
+    docs = documents(spark, some)
+    got = tokens.count_tokens(docs.unionByName(docs), BPE).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == sorted((i, len(ids_of(tokenizer, t))) for i, t in enumerate(some) for _ in range(2))
+    pieces = packing.pack(docs, BPE, keep_ids=True).toPandas()
+    for i, t in enumerate(some):
+        mine = pieces[pieces.doc_id == i].sort_values("piece")
+        assert b"".join(map(bytes, mine.ids)) == np.asarray([*ids_of(tokenizer, t), 0], "<u4").tobytes()
+
+
 # Packing -------------------------------------------------------------------------
 
 
@@ -179,6 +212,39 @@ def test_classes_of_poor_centres(spark, monkeypatch):
     assert [got[i] for i in range(len(some))] == label
 
 
+def test_classes_of_colliding_words_long_texts_and_null_keys(spark, monkeypatch):
+    a, b = thue_morse(2048)
+    rnd = random.Random(6)
+    long = [rnd.choice(WORDS) + str(rnd.randrange(3000)) for _ in range(200_000)]
+    near = list(long)
+    for _ in range(3000):
+        near[rnd.randrange(len(near))] = f"new{rnd.randrange(10**6)}"
+    some = [" ".join([a] * 6), " ".join([b] * 6), " ".join([a] * 6 + [b]), " ".join(long), " ".join(near), "x" * 3_000_000, "y " * 700_000, "y y y y y", " " * 2_000_000]
+    n, label = brute_classes(some)
+    assert max(map(len, some)) > jaccard_join.SLICE
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_classes(documents(spark, some)).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(some))] == n and [got[i]["component_id"] for i in range(len(some))] == label
+    # links that run through a row without a key
+    base = [f"w{i}" for i in range(60)]
+    one, two, three = " ".join(base), " ".join([*base[:-1], "u"]), " ".join([*base[:-2], "v", "u"])
+    docs = spark.createDataFrame([(5, one), (None, two), (7, three), (None, "alone by itself it is here"), (None, None)], "doc_id long, text string")
+    found = jaccard_join.jaccard_classes(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in found if r["n_shingles"] > 10) == [(0, 5), (5, 5), (7, 5)]
+    assert [r["component_id"] for r in found if r["n_shingles"] < 10] == [None, None]
+
+
+def test_classes_with_frequent_members_in_parts(spark, monkeypatch):
+    """One group that holds most rows, whose members are dealt to several tasks; sets that share their first 64 bits."""
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    some = near_texts(12, groups=1, size=60) + near_texts(3, groups=2, size=8)
+    _, label = brute_classes(some)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_classes(documents(spark, some)).collect()}
+    assert [got[i] for i in range(len(some))] == label
+    rows = spark.createDataFrame([(1, 5, 10, 3), (2, 5, 11, 4), (3, 6, 12, 5), (4, 5, 10, 3), (5, 0, 0, 0)], "doc_id long, sid long, s2 long, n long")
+    sids = {r["doc_id"]: r["sid"] for r in jaccard_join._parted(rows).collect()}
+    assert sids[1] == sids[4] and len({sids[1], sids[2], sids[3]}) == 3 and sids[3] == 6
+
+
 def test_repeated_rows_and_empty_tables_have_classes(spark):
     docs = documents(spark, ["a b c d e f g h", "a b c d e f g h"])
     twice = docs.unionByName(docs).unionByName(documents(spark, ["other text of five words here"], 9))
