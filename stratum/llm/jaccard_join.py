@@ -1,7 +1,7 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, by vertical partitioning.
 
 A document is the set of its distinct 5-word shingles. Words are hashed to 128
-bits by keyed BLAKE2b, shingles are 64 bits mixed from those of their words, and
+bits by keyed chains of eight bytes a step (long ones by BLAKE2b), shingles are 64 bits mixed from those of their words, and
 a set is named by 128 bits of all its shingles. (Two shingles of a compared pair
 share 64 bits with a chance of |A| |B| / 2^64, some 10^-13 for thousands.)
 
@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, durable, importable, kept, pieces, string_column, table, tidied
+from .common import components, durable, importable, pieces, string_column, table, tidied
 
 WORDS = 5
 PERCENT = 80
@@ -64,9 +64,9 @@ FIRST = 2
 COMMON = 1 << 17
 #: A shingle with more occurrences is dealt to several tasks.
 HOT = 4096
-#: Words whose hashes a worker keeps, and their longest; bytes of a slice of a long text.
-KNOWN = 1 << 17
+#: Bytes of the longest words that are hashed together, of texts that are, and of a slice of a long text.
 LONG = 64
+GROUP = 1 << 19
 SLICE = 1 << 20
 #: Most ids that a broadcast may hold; beyond, the join is shuffled.
 BROADCAST = 1 << 19
@@ -78,45 +78,56 @@ CHUNK = 64
 
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _blank = re.compile(rb"[\x20\x09-\x0d]")
+_space = np.zeros(256, bool)
+_space[[32, *range(9, 14)]] = True
 _none = np.zeros(0, np.uint64)
+#: Keys of the two lanes, and the bytes of a word that its last eight bytes hold.
+_keys = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+_odd = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_mask = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-class Words:
-    """128-bit hashes of words, as two lanes, kept in this worker for the words that come often."""
-
-    def __init__(self):
-        self.number: dict[bytes, int] = {}
-        self.lanes = np.zeros((2, 1 << 14), np.uint64)
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        try:
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(words)
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        out = self.lanes[:, at]
-        if len(self.number) > KNOWN:
-            self.__init__()
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        new = set(words).difference(self.number)
-        first = len(self.number)
-        made = np.frombuffer(b"".join([blake2b(w, digest_size=16, key=b"shingle words").digest() for w in new]), np.uint64).reshape(-1, 2).T
-        if first + len(new) > self.lanes.shape[1]:
-            grown = np.zeros((2, 2 * (first + len(new))), np.uint64)
-            grown[:, :first] = self.lanes[:, :first]
-            self.lanes = grown
-        self.lanes[:, first : first + len(new)] = made
-        self.number.update(zip(new, range(first, first + len(new))))
-
-
-def _split(raw: bytes) -> list[bytes]:
-    """Words; very long ones by a digest, so that no cache holds them."""
-    words = raw.split()  # of bytes: at 32 and 9 to 13 only
-    if len(raw) > LONG * len(words):
-        words = [w if len(w) <= LONG else b"\x20" + blake2b(w, digest_size=32).digest() for w in words]
-    return words
+def _mixed(lane: np.ndarray, x: np.ndarray, odd: np.uint64) -> np.ndarray:
+    """The lane with eight more bytes: one-to-one in either."""
+    lane = lane ^ x
+    lane *= odd
+    lane ^= lane >> np.uint64(29)
+    lane *= np.uint64(0xA0761D6478BD642F)
+    lane ^= lane >> np.uint64(32)
+    return lane
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes, as two lanes, of data[start:end]; eight bytes or more follow the last one.
+
+    Both lanes take eight bytes a step, so words of up to eight bytes have hashes of their own. Words over ``LONG`` bytes are hashed by BLAKE2b.
+    """
+    size = ends - starts
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = np.empty((2, len(size)), np.uint64)
+    with np.errstate(over="ignore"):
+        x = eight[starts] & _mask[np.minimum(size, 8)]
+        for k in (0, 1):
+            out[k] = _mixed(size.astype(np.uint64) * _keys[k], x, _odd[k])
+        at = np.flatnonzero((size > 8) & (size <= LONG))
+        step = 8
+        while len(at):
+            x = eight[starts[at] + step] & _mask[np.minimum(size[at] - step, 8)]
+            out[0, at] = _mixed(out[0, at], x, _odd[0])
+            out[1, at] = _mixed(out[1, at], (x << np.uint64(23)) | (x >> np.uint64(41)), _odd[1])
+            step += 8
+            at = at[size[at] > step]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[:, i] = np.frombuffer(blake2b(data[starts[i] : ends[i]], digest_size=16, key=b"shingle words").digest(), np.uint64)
+    return out
+
+
+def _hashed(raw: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the words of all texts, and the number of the first word of each text and of the last one's end."""
+    data = np.frombuffer(b" ".join([*raw, b"       "]), np.uint8)
+    turns = np.flatnonzero(np.diff(_space[data], prepend=True, append=True))
+    starts, ends = turns[::2], turns[1::2]
+    return word_hashes(data, starts, ends), np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
 
 
 def _windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -125,20 +136,22 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
     out = np.full(n, size, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size if n else 0):
-            for lane in h:
-                out ^= lane[k : k + n]
-                out *= np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(32)
+            out ^= h[0, k : k + n]
+            out *= _keys[0]
+            out ^= out >> np.uint64(32)
+            out += h[1, k : k + n]
+            out *= _odd[0]
+        out ^= out >> np.uint64(29)
     return out
 
 
-def _long(raw: bytes, words: int, known: Words) -> np.ndarray:
+def _long(raw: bytes, words: int) -> np.ndarray:
     """Distinct shingles of a long text, slice by slice."""
     at, seen, held, parts = 0, 0, np.zeros((2, 0), np.uint64), []
     while at < len(raw):
         found = _blank.search(raw, min(at + SLICE, len(raw)))
         to = found.start() if found else len(raw)
-        mine = known.hashes(_split(raw[at:to]))
+        mine, _ = _hashed([raw[at:to]])
         seen += mine.shape[1]
         held = np.concatenate([held, mine], axis=1)
         parts.append(np.unique(_windows(held, words)))
@@ -150,32 +163,26 @@ def _long(raw: bytes, words: int, known: Words) -> np.ndarray:
 
 def raw_shingles(texts: list[str], words: int = WORDS):
     """For each text the hashes (uint64) of its shingles; those of short texts in their order and with repetition."""
-    known = kept("words", None, Words)
-    group: list[list[bytes]] = []
-
-    def flush():
-        h = known.hashes([w for x in group for w in x])
-        whole, at = _windows(h, words), 0
-        for x in group:
-            n = len(x)
-            yield whole[at : at + n - words + 1] if n >= words else _windows(h[:, at : at + n], n) if n else _none
-            at += n
-        group.clear()
-
-    n = 0
+
+    def of_group(group: list[bytes]):
+        h, edges = _hashed(group)
+        whole = _windows(h, words)
+        for first, last in zip(edges, edges[1:]):
+            n = last - first
+            yield whole[first : last - words + 1] if n >= words else _windows(h[:, first:last], n) if n else _none
+
+    group, n = [], 0
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
+        if len(raw) <= SLICE:
+            group.append(raw)
+            n += len(raw)
+        if n > GROUP or len(raw) > SLICE:
+            yield from of_group(group)
+            group, n = [], 0
         if len(raw) > SLICE:
-            yield from flush()
-            n = 0
-            yield _long(raw, words, known)
-            continue
-        group.append(_split(raw))
-        n += len(group[-1])
-        if n > 1 << 15:
-            yield from flush()
-            n = 0
-    yield from flush()
+            yield _long(raw, words)
+    yield from of_group(group)
 
 
 def shingle_sets(texts: list[str], words: int = WORDS):
