@@ -35,6 +35,8 @@ def importable(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     env.update(ALLOCATION)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: texts are long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 
 _OWN: list[str] = []

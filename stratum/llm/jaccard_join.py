@@ -61,7 +61,7 @@ FRAGMENTS = 8
 #: Fragments that are counted first, for all candidates.
 FIRST = 2
 #: Shingles that the corpus repeats most.
-COMMON = 1 << 17
+COMMON = 1 << 19
 #: A shingle with more occurrences is dealt to several tasks.
 HOT = 4096
 #: Bytes of the longest words that are hashed together, of texts that are, and of a slice of a long text.
@@ -197,7 +197,7 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
     summary. The table sets an order, and how rows are dealt; any table gives
     the same result.
     """
-    block, cells, held_most = 1 << 20, 1 << 20, 4 * size
+    block, cells, held_most = 1 << 21, 1 << 21, 2 * size
 
     def summarise(batches):
         held, n = [], 0
@@ -207,7 +207,7 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
             nonlocal names, counts, held, n
             x = np.concatenate(held)
             held, n = [], 0
-            place = (x >> np.uint64(44)).astype(np.int32)
+            place = (x >> np.uint64(43)).astype(np.int32)
             # a shingle that occurs three times is in a cell with three or more
             x = np.sort(x[np.bincount(place, minlength=cells)[place] > 2])
             first = np.flatnonzero(np.diff(x, prepend=~x[:1]))
@@ -230,7 +230,7 @@ def common_shingles(docs: DataFrame, text: str, words: int, size: int = COMMON)
                     merge()
         if held:
             merge()
-        top = np.argsort(-counts, kind="stable")[: size // 2]
+        top = np.argsort(-counts, kind="stable")[: size // 8]
         yield pa.RecordBatch.from_arrays([pa.array(names[top].view(np.int64)), pa.array(counts[top])], ["x", "n"])
 
     top = (
@@ -396,10 +396,8 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(most >= _least(na, nb, percent)).select("a", "b", "na", "nb")
 
 
-def _classed(nodes: DataFrame, classes: DataFrame | None) -> DataFrame:
+def _classed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Nodes with their class."""
-    if classes is None:
-        return nodes.withColumn("class", F.col("sid"))
     named = classes.select(F.col("id").alias("sid"), F.col("component").alias("_c"))
     return nodes.join(named, "sid", "left").select(*nodes.columns, F.coalesce("_c", "sid").alias("class"))
 
@@ -415,26 +413,32 @@ def _chunked(nodes: DataFrame, centres: DataFrame) -> DataFrame:
     return both.select(*nodes.columns, F.struct(F.col("_c").alias("centre"), F.coalesce(piece, F.lit(0)).alias("piece")).alias("chunk"))
 
 
-def _lists(classed: DataFrame) -> DataFrame:
-    """(token, at, sid, n, hub, class[, chunk], size, centre) of the lists that hold more than one class, with their lengths and most central nodes."""
+def _listed(classed: DataFrame) -> DataFrame:
     names = [c for c in classed.columns if c != "tokens"]
-    each = classed.select(F.explode("tokens").alias("_t"), *names).select("_t.token", "_t.at", *names)
-    of_list = each.groupBy("token").agg(
-        F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.count("*").alias("size"), F.max(F.struct("hub", "class", "sid", "n")).alias("centre")
-    )
+    return classed.select(F.explode("tokens").alias("_t"), *names).select("_t.token", "_t.at", *names)
+
+
+def _lists(classed: DataFrame) -> DataFrame:
+    """(token, at, sid, n, class[, chunk], size) of the lists that hold more than one class, with their lengths."""
+    each = _listed(classed.drop("hub"))
+    of_list = each.groupBy("token").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.count("*").alias("size"))
     # one short row for each list: a long list is a skewed join
-    return each.join(of_list.where("_lo <> _hi").select("token", "size", "centre"), "token")
+    return each.join(of_list.where("_lo <> _hi").select("token", "size"), "token")
 
 
-def _star(lists: DataFrame, percent: int) -> DataFrame:
+def _star(nodes: DataFrame, percent: int) -> DataFrame:
     """Each node with the most central node of the list that most of its prefix shares."""
+    each = _listed(nodes).select("token", "sid", F.col("n").cast("int").alias("n"), F.col("hub").cast("float").alias("hub"))
+    centre = each.groupBy("token").agg(F.max(F.struct("hub", "sid", "n")).alias("_z"))
     found = (
-        lists.where((F.col("class") != F.col("centre.class")) & _close(F.col("n"), F.col("centre.n"), percent))
-        .groupBy(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("centre.sid").alias("b"), F.col("centre.n").alias("nb"))
+        each.select("token", "sid", "n")
+        .join(centre.select("token", F.col("_z.sid").alias("b"), F.col("_z.n").alias("nb")), "token")
+        .where((F.col("sid") != F.col("b")) & _close(F.col("n"), F.col("nb"), percent))
+        .groupBy(F.col("sid").alias("a"), F.col("n").alias("na"), "b", "nb")
         .agg(F.count("*").alias("_k"))
     )
     best = found.groupBy("a", "na").agg(F.max(F.struct("_k", "b", "nb")).alias("_m"))
-    return best.select("a", F.col("_m.b").alias("b"), "na", F.col("_m.nb").alias("nb"))
+    return best.select("a", F.col("_m.b").alias("b"), F.col("na").cast("long").alias("na"), F.col("_m.nb").cast("long").alias("nb"))
 
 
 def _neighbours(lists: DataFrame, percent: int, seed: int, most: int = PARTNERS) -> DataFrame:
@@ -466,17 +470,22 @@ def _rest(classed: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     node = F.struct("sid", "n", "class", F.col("tokens.token").alias("tokens"), F.col("tokens.at").alias("places")).alias("node")
     chunks = durable(classed.select("chunk", node).groupBy("chunk").agg(F.collect_list("node").alias("nodes")))
     head = F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-    spots = (
-        lists.select("token", "n", "chunk", head.alias("head"), (F.col("n") - F.col("at")).alias("room"))
-        .groupBy("token", "chunk")
-        .agg(F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.count("*").alias("k"))
-    )
     side = lambda k: [F.col("chunk").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("lo", "hi", "room", "k"))]
     near = (100 * F.col("p_hi") >= percent * F.col("q_lo")) & (100 * F.col("q_hi") >= percent * F.col("p_lo"))
     room = F.least("p_room", "q_room") >= _least(F.col("p_lo"), F.col("q_lo"), percent)
-    units = spots.where("head").select("token", *side("p")).join(spots.select("token", *side("q")), "token")
-    units = units.where(near & room & ((F.col("p") != F.col("q")) | (F.col("p_k") > 1)))
-    units = units.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+
+    def units_of(some: DataFrame) -> DataFrame:
+        spots = (
+            some.groupBy("token", "chunk")
+            .agg(F.max("head").alias("head"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"), F.count("*").alias("k"))
+        )
+        found = spots.where("head").select("token", *side("p")).join(spots.select("token", *side("q")), "token")
+        found = found.where(near & room & ((F.col("p") != F.col("q")) | (F.col("p_k") > 1)))
+        return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+
+    spots = lists.select("token", "n", "chunk", "size", head.alias("head"), (F.col("n") - F.col("at")).alias("room"))
+    # short lists are dealt once for the sums and the join; long ones are summed in parts and their join is split
+    units = units_of(spots.where(F.col("size") <= HOT).repartition("token")).union(units_of(spots.where(F.col("size") > HOT))).distinct()
     both = units.join(chunks.select(F.col("chunk").alias("p"), F.col("nodes").alias("left")), "p")
     both = both.join(chunks.select(F.col("chunk").alias("q"), F.col("nodes").alias("right")), "q").select("p", "q", "left", "right")
     both = both.select((F.col("p") == F.col("q")).alias("same"), "left", "right")
@@ -575,15 +584,13 @@ def jaccard_classes(
     found, classes, step, good = None, None, 0, True
     while True:
         last = step > ROUNDS or (step > 0 and good)
-        classed = durable(_classed(nodes if step == 0 else _chunked(nodes, centres), classes))
-        lists = _lists(classed)
-        lists = durable(lists.drop("centre") if step else lists)
-        if last:
-            pairs = _rest(classed, lists, percent)
+        if step:
+            classed = durable(_classed(_chunked(nodes, centres), classes))
+        if step == 0:
+            pairs = bounded(centres := durable(_star(nodes, percent)), nodes, percent)
         else:
-            if step == 0:
-                centres = durable(_star(lists, percent))
-            pairs = bounded(_neighbours(lists, percent, step) if step else centres, nodes, percent)
+            lists = durable(_lists(classed))
+            pairs = _rest(classed, lists, percent) if last else bounded(_neighbours(lists, percent, step), nodes, percent)
         links, tried, made = decided(pairs)
         if report is not None:
             report[step] = (tried, made)

@@ -313,9 +313,26 @@ def test_quantisation_error_holds():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(2, 300, 33)) * 10 ** rng.uniform(-8, 8, (2, 300, 1))
     unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
-    (q, s, e, _), (r, t, f, size) = embeddings.quantised(x), embeddings.quantised(y)
+    (q, s, e, _, q2, s2, e2), (r, t, f, size, r2, t2, f2) = embeddings.quantised(x), embeddings.quantised(y)
     near = (q * s[:, None]) @ (r * t[:, None]).T
     assert (np.abs(near - unit(x) @ unit(y).T) <= f[None, :] + e[:, None] * size[None, :] + 1e-9).all()
+    fine = (q * s[:, None] + q2 * s2[:, None]) @ (r * t[:, None] + r2 * t2[:, None]).T
+    assert (np.abs(fine - unit(x) @ unit(y).T) <= f2[None, :] + 1.001 * e2[:, None] + embeddings.FINE).all() and e2.max() < e.max() / 50
+
+
+def test_embeddings_of_extreme_size_repeated_keys_and_open_pairs(spark):
+    """Cosines within 10^-13 of the threshold are decided in double precision."""
+    at = [[1.0, 0.0], [0.9, float(np.sqrt(1 - 0.81)) + 1e-13], [0.9, float(np.sqrt(1 - 0.81)) - 1e-13]]
+    rows = [[1e200, 4.843e199], [1.0, 0.01], [1e-200, 0.0], [-1.0, 0.3], *at, [5e-324, 0.0]]
+    small = [[1.0, 0.4843], rows[1], [1.0, 0.0], *rows[3:-1], [1.0, 0.0]]
+    links, label = brute_links(small)
+    docs = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddings.embedding_components(docs).collect()}
+    assert got[0]["n_links"] >= 1 and got[0]["component_id"] == 0
+    assert [got[i]["n_links"] for i in range(len(rows))] == links and [got[i]["component_id"] for i in range(len(rows))] == label
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (2, None), (None, [1.0, 0.05]), (None, None)], "vec_id long, embedding array<double>")
+    found = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.embedding_components(docs).collect()]
+    assert sorted(found, key=str) == sorted([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 0, 2, True), (None, 2, 1, None), (None, 0, None, None)], key=str)
 
 
 # Sharding, mixing -----------------------------------------------------------------------
