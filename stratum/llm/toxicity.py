@@ -5,19 +5,24 @@ are least; equal texts count once) give counts of features: lower-case
 words, and the beginnings of longer words, which stand for inflected stems. A
 document adds at most ``BURST`` to a feature. All labelled texts are counted,
 and a taught one stands for as many as its class has for each that is taught,
-so that a bound on the classes doesn't change their shares. Log-odds between the
-classes use an informative Dirichlet prior, the pooled frequencies with the
-weight of the smaller class; features with a z-score of ``Z`` or more in ``DOCS`` documents
-or more stay, at most ``FEATURES``. Every other word has one small negative
-score, the log-odds of not being such a feature.
+so that a bound on the classes doesn't change their shares. Every feature of
+``DOCS`` documents or more has signed log-odds between the classes under an
+informative Dirichlet prior, the pooled frequencies with the weight of the
+smaller class; they are shrunk by z^4 / (z^4 + ``Z``^4), so that what may be
+chance weighs little, and log-odds within ``LEAST`` of 0 are 0. A word scores as
+the one of its features with the largest |z|, clean-leaning words below 0, words
+without features 0; from every word's score goes the drift that makes clean text
+lose ``DRIFT`` a word.
 
 Scoring. One linear scan finds all maximal scoring segments of a whole text.
 Segment scores follow an extreme-value law with parameters lambda (root of
 E[exp(lambda * s)] = 1 over clean words) and K (from the best segments of
 clean documents), so a segment S in n words has E = K n exp(-lambda S). A
 document's evidence adds lambda S - log(K n) over its best and its significant
-(E < ``EXPECT``) segments; an isotonic map of the evidence, fitted on the
-taught rows and what they stand for, gives the score.
+(E < ``EXPECT``) segments; an isotonic map of the evidence gives the score.
+Drift, lambda, K and the map come from ``FOLDS`` folds of the taught rows, each
+scored by the log-odds of the others. The driver receives features, histograms
+and a number or three for each taught row.
 
 Null and empty texts have no words and the score of texts without evidence.
 Labels that are null teach nothing. Without taught rows of both classes no
@@ -35,17 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_column, table
+from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_column, table, tidied
 
 TAUGHT = 6000
 BURST = 3
-Z = 3.0
+Z = 4.0
 DOCS = 3
-FEATURES = 20_000
+LEAST = 0.02
+DRIFT = 0.04
+FOLDS = 3
 STEM = range(4, 10)
 EXPECT = 0.05
 THRESHOLD = 0.3
-CACHED = 150_000
+CACHED = 100_000
+#: The histogram of word scores: bins of ``BIN`` on both sides of 0.
+BIN, BINS = 0.01, 2000
 
 _word = re.compile(r"\w+")
 _EMPTY = -1e3
@@ -63,41 +72,50 @@ def features_of(word: str) -> list[str]:
 
 
 class Weights:
-    """Scores of words: listed features by z-score, anything else ``other``."""
+    """Scores of words: of listed features (z-score, log-odds) the surest, less ``drift``."""
 
-    def __init__(self, listed: dict[str, tuple[float, float]], other: float):
-        self.listed, self.other = listed, other
-        self.known: dict[str, float | None] = {}
+    def __init__(self, listed: dict[str, tuple[float, float]], drift: float):
+        self.listed, self.drift = listed, drift
+        self.known: dict[str, float] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def __getstate__(self):
+        return {"listed": self.listed, "drift": self.drift, "known": {}}
+
+    def _learn(self, words: list[str]) -> None:
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHED:
             self.known = {}
             new = set(words)
         for word in new:
             found = [self.listed[x] for x in features_of(word) if x in self.listed]
-            self.known[word] = max(found)[1] if found else None
+            self.known[word] = (max(found, key=lambda x: abs(x[0]))[1] if found else 0.0) - self.drift
 
-    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]], list[float]]:
-        """Number of words, maximal segments (first word, last word, score), and the listed words' scores."""
+    def scores(self, text: str) -> np.ndarray:
+        """The score of each word."""
         words = _word.findall(lowered(text))
-        self.learn(words)
-        hits = [(at, s) for at, s in enumerate(map(self.known.__getitem__, words)) if s is not None]
-        return len(words), maximal_segments(hits, self.other), [s for _, s in hits]
+        try:
+            return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+        except KeyError:
+            self._learn(words)
+            return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words, and maximal segments (first word, last word, score)."""
+        s = self.scores(text)
+        return len(s), maximal_segments(s)
 
 
-def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence that scores ``other`` (negative) except at ``hits`` (positive).
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of a sequence.
 
     ``before`` of a candidate is the index of the last earlier one with a
     smaller left sum; following those links keeps the scan linear.
     """
+    places = np.flatnonzero(scores > 0)
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
     first, last, left, right, before = [], [], [], [], []
-    total, at = 0.0, 0
-    for place, score in hits:
-        total += (place - at) * other
-        at = place + 1
-        f, l0, total = place, total, total + score
+    for place, l0, total in zip(places.tolist(), sums[places].tolist(), sums[places + 1].tolist()):
+        f = place
         j = len(left) - 1
         while True:
             while j >= 0 and left[j] >= l0:
@@ -144,111 +162,137 @@ def _taught(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     some = [every.where(F.col("y") == y).orderBy("_h").limit(n) for y in (0, 1)]
     # at most 2 n short rows: broadcast
     rows = docs.select(key, text, hashed).join(F.broadcast(some[0].union(some[1])), [key, "_h"])
-    return rows.select(F.coalesce(text, F.lit("")).alias("text"), "y").dropDuplicates(["text", "y"]), tuple(max(1.0, totals.get(y, 0) / n) for y in (0, 1))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    return rows.select(F.coalesce(text, F.lit("")).alias("text"), "y").dropDuplicates(["text", "y"]).select("text", "y", fold), tuple(max(1.0, totals.get(y, 0) / n) for y in (0, 1))
 
 
 def _feature_counts(taught: DataFrame) -> DataFrame:
+    """(feature, n): for each fold the counts in toxic and clean texts and the number of texts; the feature '' counts words."""
+
     def count(batches):
-        both, docs = (Counter(), Counter()), Counter()
+        found: list[Counter] = [Counter() for _ in range(3 * FOLDS)]
         for batch in pieces(batches):
-            for text, y in zip(string_column(batch, "text"), batch.column("y").to_pylist()):
+            for text, y, fold in zip(string_column(batch, "text"), batch.column("y").to_pylist(), batch.column("fold").to_pylist()):
                 own: Counter = Counter()
+                mine, docs = found[3 * fold + 1 - y], found[3 * fold + 2]
                 for word, n in Counter(_word.findall(lowered(text))).items():
-                    both[y][""] += min(n, BURST)
+                    mine[""] += min(n, BURST)
                     for x in features_of(word):
                         own[x] += n
                 for x, n in own.items():
-                    both[y][x] += min(n, BURST)
-                if y:
-                    docs.update(own.keys())
-        names = list(both[0].keys() | both[1].keys())
+                    mine[x] += min(n, BURST)
+                docs.update(own.keys())
+        names = list(set().union(*found))
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), *(pa.array([c[x] for x in part], pa.int64()) for c in (both[1], both[0], docs))],
-                ["feature", "a", "b", "docs"],
+                [pa.array(part, pa.string()), *(pa.array([c[x] for x in part], pa.int64()) for c in found)], ["feature", *(f"n{k}" for k in range(3 * FOLDS))]
             )
 
-    found = taught.mapInArrow(count, "feature string, a long, b long, docs long")
-    return found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("a", "b", "docs")))
+    columns = [f"n{k}" for k in range(3 * FOLDS)]
+    found = taught.mapInArrow(tidied(count), "feature string, " + ", ".join(f"{c} long" for c in columns))
+    sums = found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    docs = sum((F.col(c) for c in columns[2::3]), F.lit(0))
+    return sums.where((docs >= DOCS) | (F.col("feature") == "")).orderBy("feature")
 
 
-def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Fit to rows (text string, y 0/1), a bounded number; one of class y stands for ``stands[y]`` labelled texts."""
-    counts = durable(_feature_counts(taught))
-    totals = counts.where("feature = ''").first()
-    n_a, n_b = (totals["a"], totals["b"]) if totals else (0, 0)
-    listed: dict[str, tuple[float, float]] = {}
-    other = -0.01
-    if n_a and n_b:
-        prior = min(n_a, n_b)
-        alpha = prior * (stands[1] * F.col("a") + stands[0] * F.col("b")) / (stands[1] * n_a + stands[0] * n_b)
-        odds = lambda c, n: F.log((F.col(c) + alpha) / (n + prior - F.col(c) - alpha))
-        z = (odds("a", n_a) - odds("b", n_b)) / F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha))
-        top = (
-            counts.where((F.col("docs") >= DOCS) & (F.col("feature") != ""))
-            .select("feature", (odds("a", n_a) - odds("b", n_b)).alias("w"), z.alias("z"))
-            .where(F.col("z") >= Z)
-            .orderBy(F.desc("z"), "feature")
-            .limit(FEATURES)
-            .collect()
-        )
-        listed = {r["feature"]: (r["z"], r["w"]) for r in top}
-    first = Weights(listed, other)
-
-    def hit_rates(batches):
-        n, h = [0, 0], [0, 0]
-        for batch in pieces(batches):
-            for text, y in zip(string_column(batch, "text"), batch.column("y").to_pylist()):
-                k, _, hits = first.segments(text)
-                n[y], h[y] = n[y] + k, h[y] + len(hits)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (n[0], h[0], n[1], h[1])], ["n0", "h0", "n1", "h1"])
+def log_odds(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float, stands: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(z, shrunk log-odds) of features with counts a and b among n_a and n_b words."""
+    prior = min(n_a, n_b)
+    alpha = prior * np.maximum(stands[1] * a + stands[0] * b, 0.5) / (stands[1] * n_a + stands[0] * n_b)
+    odds = lambda c, n: np.log((c + alpha) / np.maximum(n + prior - c - alpha, 0.5))
+    w = odds(a, n_a) - odds(b, n_b)
+    z = w / np.sqrt(1 / (a + alpha) + 1 / (b + alpha))
+    return z, w * z**4 / (z**4 + Z**4)
 
-    r = taught.mapInArrow(hit_rates, "n0 long, h0 long, n1 long, h1 long").groupBy().sum().first()
-    if r is not None and r[0] and r[2]:
-        other = min(-0.005, math.log((1 - min(0.5, (r[3] + 0.5) / r[2])) / (1 - min(0.4, (r[1] + 0.5) / r[0]))))
-    weights = Weights(listed, other)
 
-    def describe(batches):
-        for batch in pieces(batches):
-            rows = [weights.segments(x) for x in string_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("y"), pa.array([x[0] for x in rows], pa.int64()),
-                    pa.array([[s for _, _, s in x[1]] for x in rows], pa.list_(pa.float64())),
-                    pa.array([x[2] for x in rows], pa.list_(pa.float64())),
-                ],
-                ["y", "n", "scores", "hits"],
-            )
+def _listed(names: list[str], n: np.ndarray, without: int, stands) -> dict[str, tuple[float, float]]:
+    """Features with their z-score and log-odds, from all folds but ``without``."""
+    some = [f for f in range(FOLDS) if f != without]
+    a, b, docs = (sum(n[:, 3 * f + k] for f in some) for k in range(3))
+    whole = names.index("") if "" in names else None
+    if whole is None or not a[whole] or not b[whole]:
+        return {}
+    z, w = log_odds(a, b, a[whole], b[whole], stands)
+    kept = np.flatnonzero((docs >= DOCS) & (np.abs(w) >= LEAST))
+    return {names[i]: (float(z[i]), float(w[i])) for i in kept.tolist() if names[i]}
+
 
-    # a row for each taught document, whose number is bounded
-    seen = taught.mapInArrow(describe, "y int, n long, scores array<double>, hits array<double>").collect()
-    clean = [r for r in seen if r["y"] == 0]
-    rate = _decay([s for r in clean for s in r["hits"]], sum(r["n"] for r in clean), other)
-    log_k = _location(clean, rate)
-    # classes can be cut at different shares
-    each = np.array([stands[r["y"]] for r in seen])
-    ys = np.array([r["y"] for r in seen], float)
-    model = Model(weights, rate, log_k, np.array([0.0]), np.array([np.average(ys, weights=each) if seen else 0.0]))
-    if not seen:
+def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fit to rows (text string, y 0/1, fold int), a bounded number; one of class y stands for ``stands[y]`` labelled texts."""
+    spark = taught.sparkSession
+    counts = _feature_counts(taught).toArrow()
+    names = counts.column("feature").to_pylist()
+    n = np.stack([counts.column(c).to_numpy() for c in counts.column_names[1:]], axis=1).astype(np.float64)
+    # one more than there are folds: the last leaves none out
+    lists = spark.sparkContext.broadcast([_listed(names, n, f, stands) for f in range(FOLDS + 1)])
+
+    def each(describe, schema: str, drift: float) -> DataFrame:
+        def run(batches):
+            weights = [Weights(x, drift) for x in lists.value[:FOLDS]]
+            for batch in pieces(batches):
+                rows = zip(string_column(batch, "text"), batch.column("y").to_pylist(), batch.column("fold").to_pylist())
+                made = describe(weights, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], [x.split()[0] for x in schema.split(", ")])
+
+        return taught.mapInArrow(tidied(run), schema)
+
+    def histogram(weights, rows):
+        total = np.zeros(2 * BINS + 1, np.int64)
+        for text, y, fold in rows:
+            if not y:
+                at = np.clip(np.rint(weights[fold].scores(text) / BIN), -BINS, BINS).astype(np.int64) + BINS
+                total += np.bincount(at, minlength=len(total))
+        some = np.flatnonzero(total)
+        return [(int(i) - BINS, int(total[i])) for i in some] or [(0, 0)]
+
+    words = each(histogram, "bin long, words long", 0.0).groupBy("bin").agg(F.sum("words").alias("words")).collect()
+    s, c = (np.array([r[k] for r in sorted(words)], np.float64) for k in (0, 1))
+    clean = c.sum()
+    drift = (max(0.0, float((s * c).sum() / clean * BIN)) if clean else 0.0) + DRIFT
+    rate = _decay(s * BIN - drift, c / max(clean, 1))
+
+    def best(weights, rows):
+        out = []
+        for text, y, fold in rows:
+            k, segments = weights[fold].segments(text)
+            out.append((y, k, max((x for _, _, x in segments), default=0.0)))
+        return out
+
+    # three numbers, then one, of each taught document
+    seen = each(best, "y long, n long, best double", drift).collect()
+    log_k = _location([(r["n"], r["best"]) for r in seen if r["y"] == 0], rate)
+    total = sum(stands[r["y"]] for r in seen)
+    share = sum(stands[1] for r in seen if r["y"]) / total if seen else 0.0
+    model = Model(Weights(lists.value[FOLDS], drift), rate, log_k, np.array([0.0]), np.array([share]))
+    if not seen or not 0 < share < 1:
         return model
-    xs = np.array([model.evidence(r["n"], r["scores"]) for r in seen])
+    rule = Model(Weights({}, drift), rate, log_k, np.array([0.0]), np.array([share]))
+
+    def evidence(weights, rows):
+        out = []
+        for text, y, fold in rows:
+            k, segments = weights[fold].segments(text)
+            out.append((y, rule.evidence(k, [x for _, _, x in segments])))
+        return out
+
+    found = each(evidence, "y long, evidence double", drift).collect()
+    held = np.array([stands[r["y"]] for r in found])
+    ys = np.array([r["y"] for r in found], float)
     # ties form one point
-    points, where = np.unique(xs, return_inverse=True)
-    n = np.bincount(where, each)
-    share = np.bincount(where, ys * each) / n
-    fitted = pool_adjacent(np.concatenate([[1.0], n, [1.0]]), np.concatenate([[0.0], share, [1.0]]))[1:-1]
+    points, where = np.unique(np.array([r["evidence"] for r in found]), return_inverse=True)
+    weight = np.bincount(where, held)
+    part = np.bincount(where, ys * held) / weight
+    fitted = pool_adjacent(np.concatenate([[1.0], weight, [1.0]]), np.concatenate([[0.0], part, [1.0]]))[1:-1]
     model.xs, model.ys = points, np.clip(fitted, 0.001, 0.999)
     return model
 
 
-def _decay(hits: list[float], words: int, other: float) -> float:
-    """lambda: the positive root of E[exp(lambda s)] = 1 over clean words."""
-    if not hits:
+def _decay(scores: np.ndarray, share: np.ndarray) -> float:
+    """lambda: the positive root of E[exp(lambda s)] = 1 over clean words, whose mean score is negative."""
+    if not len(scores) or scores.max(initial=0) <= 0:
         return 1.0
-    s, p = np.array(hits), 1.0 / max(words, 1)
-    rest = max(0.0, 1 - len(hits) * p)
-    excess = lambda x: float(p * np.exp(np.minimum(x * s, 700)).sum() + rest * math.exp(x * other) - 1)
+    excess = lambda x: float((share * np.exp(np.minimum(x * scores, 700))).sum() - 1)
     low, high = 1e-3, 20.0
     if excess(low) >= 0:
         return 0.2
@@ -258,15 +302,15 @@ def _decay(hits: list[float], words: int, other: float) -> float:
     return low
 
 
-def _location(clean: list, rate: float) -> float:
-    """log K: so many clean documents have a best segment with E < 1 as the law expects of their excesses."""
-    best = [(r["n"], max(r["scores"])) for r in clean if r["scores"]]
+def _location(clean: list[tuple[int, float]], rate: float) -> float:
+    """log K: so many clean documents have a best segment over their median as the law expects."""
+    best = sorted(s for _, s in clean if s > 0)
     if not best:
         return math.log(1e-3)
-    # P(no segment over s) = exp(-K n e^(-rate s)); the least positive score s0 gives the likelihood of none
-    s0 = min(s for _, s in best)
-    mass = sum(r["n"] * math.exp(-rate * s0) for r in clean)
-    return math.log(max(len(best) / max(mass, 1e-12), 1e-9))
+    # P(no segment over s) = exp(-K n e^(-rate s)); the excesses over s0 tell K
+    s0 = best[len(best) // 2]
+    mass = sum(n * math.exp(-rate * s0) for n, _ in clean)
+    return math.log(max(sum(s >= s0 for s in best) / max(mass, 1e-12), 1e-9))
 
 
 def toxicity(
@@ -287,7 +331,7 @@ def toxicity(
         for batch in pieces(batches):
             out = []
             for value in string_column(batch, text):
-                n, segments, _ = m.weights.segments(value)
+                n, segments = m.weights.segments(value)
                 found = [(a, b, s, e) for a, b, s in segments if (e := m.log_expect(n, s)) < math.log(EXPECT)]
                 if found:
                     spans = [x.span() for x in _word.finditer(lowered(value))]
@@ -303,7 +347,7 @@ def toxicity(
             )
 
     return docs.select(key, text).mapInArrow(
-        score,
+        tidied(score),
         f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int, n_words long, "
         "passages array<struct<begin:long,end:long,score:double,log_e:double>>",
     )

@@ -377,8 +377,11 @@ def brute_mixture(rows, alpha=0.5, rate=0.5, rounds=30):
             for c, v in x.items():
                 sums[c[k]] = sums.get(c[k], 0) + v
             x = {c: v * goal[k].get(c[k], 0) / sums[c[k]] if sums[c[k]] else 0 for c, v in x.items()}
-        x = {c: min(v, cells[c]) for c, v in x.items()}
-    return {c: x[c] / t if t else 1.0 for c, t in cells.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the factor with which the whole is met
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(t, mid * x[c]) for c, t in cells.items()) < rate * total else (low, mid)
+    return {c: min(1.0, low * x[c] / t) if t else 1.0 for c, t in cells.items()}
 
 
 @pytest.mark.parametrize("local", [1 << 17, 0])
@@ -386,12 +389,12 @@ def test_mixture(spark, texts, local):
     some = [*texts, "All rights reserved.", "see https://x.org now", "a | b | c", "BUY!! NOW!! x"]
     rounds = 30 if local else 3
     got = mixing.mixture(documents(spark, some), local=local, rounds=rounds).toPandas()
-    rows = [((r.source, r.lang, r.topic), r.n_words) for r in got.itertuples()]
+    rows = [((r.source, r.lang, r.topic), r.n_tokens) for r in got.itertuples()]
     want = brute_mixture(rows, rounds=rounds)
     for (cell, _), r in zip(rows, got.itertuples()):
         draw = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) / 2**52
-        assert r.probability == pytest.approx(want[cell], abs=1e-9) and r.kept == (draw < want[cell] or abs(draw - want[cell]) < 1e-9)
-        assert r.n_words == len((some[r.doc_id] or "").split()) or "　" in some[r.doc_id]
+        assert r.probability == pytest.approx(want[cell], abs=1e-6) and r.kept == (draw < want[cell] or abs(draw - want[cell]) < 1e-6)
+        assert r.n_tokens == -(-len((some[r.doc_id] or "").encode()) // 4)
     assert {"terms", "contact", "tabular", "shouting", "prose"} == set(got.topic)
     assert mixing.mixture(documents(spark, ["x"]).where("false"), local=local, rounds=1).collect() == []
 
@@ -400,6 +403,10 @@ def test_mixture_reaches_given_targets(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "en" if i % 3 else "de", f"s{i % 2}", "t") for i in range(3000)], "doc_id long, text string, lang string, source string, topic string")
     got = mixing.mixture(docs, targets={"lang": {"en": 1, "de": 1, "absent": 5}, "source": {"s0": 3, "s1": 1}}, rate=0.3).toPandas()
     kept = got[got.kept]
+    report = {}
+    again = mixing.mixture(docs.unionByName(docs).withColumn("n", F.lit(5)), targets={"lang": {"en": 1, "de": 1}}, tokens="n", rate=0.3, report=report).toPandas()
+    assert report["residual"] <= mixing.CLOSE and report["factor"] == pytest.approx(1) and (again.groupby("doc_id").kept.nunique() == 1).all() and len(again) == 6000
+    assert again[again.kept].shape[0] == pytest.approx(1800, rel=0.1)
     assert len(kept) == pytest.approx(900, rel=0.1)
     assert (kept.lang == "de").mean() == pytest.approx(0.5, abs=0.05) and (kept.source == "s0").mean() == pytest.approx(0.75, abs=0.05)
 
@@ -516,7 +523,8 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.toxicity(docs, model).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([got[i]["predicted"] == (i % 5 == 1) for i in held]) > 0.97
-    assert {"venomous", "hateful"} <= set(model.weights.listed) and any(x.endswith("-") and x.startswith("stem") for x in model.weights.listed)
+    listed = model.weights.listed
+    assert min(listed["venomous"][1], listed["hateful"][1]) > 1 and any(x.endswith("-") and x.startswith("stem") and w > 1 for x, (_, w) in listed.items())
     some = next(r for i, r in got.items() if i % 5 == 1 and i < 600 and r["passages"])
     span = docs.where(F.col("doc_id") == some["doc_id"]).first()["text"][some["passages"][0]["begin"] : some["passages"][0]["end"]]
     assert any(w in span for w in ("venomous", "hateful", "stemming"))
@@ -546,13 +554,11 @@ def test_classifiers_without_both_classes(spark, labels):
     assert quality.quality_scores(docs.where("false"), held).collect() == []
 
 
-@given(st.lists(st.one_of(st.none(), st.floats(0.5, 6)), max_size=30))
+@given(st.lists(st.one_of(st.just(-1.0), st.integers(-300, 600).map(lambda x: x / 100)), max_size=30))
 @settings(max_examples=150, deadline=None)
-def test_maximal_segments(scores):
+def test_maximal_segments(values):
     """By definition: segments of positive score that no other such segment with all its prefixes and suffixes positive extends."""
-    other = -1.0
-    values = [other if s is None else s for s in scores]
-    got = toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s is not None], other)
+    got = toxicity.maximal_segments(np.array(values, float))
 
     def split(lo, hi):
         best = max(((sum(values[a:b]), -(b - a), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0, 0))
@@ -567,3 +573,38 @@ def test_maximal_segments(scores):
 
 def test_pool_adjacent():
     assert common.pool_adjacent(np.ones(5), np.array([1.0, 3, 2, 2, 5])).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 5])
+
+
+def test_log_odds_are_signed_and_shrunk():
+    z, w = toxicity.log_odds(np.array([50.0, 5, 5, 0]), np.array([5.0, 50, 5, 50]), 1000, 1000, (1.0, 1.0))
+    assert w[0] > 0.5 and w[1] < -0.5 and abs(w[2]) < 1e-9 and w[3] < w[1] and np.sign(z).tolist() == np.sign(w).tolist()
+
+
+def test_toxicity_of_long_repeated_and_tied_texts(spark):
+    docs, labels = labelled(spark, n=200)
+    model = toxicity.fit_toxicity(docs.unionByName(docs), labels)
+    prose = " ".join(WORDS * 5000)
+    some = [prose, f"{prose} {"venomous hateful " * 8} {prose}", "venomous hateful", "venomous hateful", "", None]
+    table = documents(spark, some)
+    got = sorted((r["doc_id"], r["score"], r["predicted"], len(r["passages"])) for r in toxicity.toxicity(table.unionByName(table), model).collect())
+    assert got[::2] == got[1::2] and [x[1] for x in got[4:8]] == [got[4][1]] * 4 and got[8][1] == got[10][1]
+    assert got[2][3] == 1 and got[0][3] == 0 and got[4][2] == 1
+    assert toxicity.toxicity(table.where("false"), model).collect() == []
+
+
+def auc(scores, truth):
+    order = np.argsort(np.argsort(scores)) + 1.0
+    for v in np.unique(scores):
+        order[scores == v] = order[scores == v].mean()
+    pos = truth.sum()
+    return (order[truth == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(truth) - pos))
+
+
+@pytest.mark.parametrize("name, label", [("op3_toxicity", "toxic"), ("op8_quality_classifier", "quality")])
+def test_held_out_labels(spark, name, label):
+    from stratum.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.queries()[name](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    truth = got[label].to_numpy()
+    assert len(truth) > 50 and auc(got.score.to_numpy(), truth) > 0.97 and (got.predicted == truth).mean() > 0.95
