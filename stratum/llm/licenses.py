@@ -19,8 +19,10 @@ look-alikes too.
 A named family counts if the paragraph's word pairs also cover ``COVER`` of one of the
 family's notices, or notices cover as much of the paragraph.
 
-Paragraphs are lines; long ones are taken in windows of ``WINDOW`` words that
-overlap. Null and empty texts have none. Equal rows are kept.
+Paragraphs are runs of lines between blank ones, so a notice may wrap; long ones
+are taken in windows of ``WINDOW`` words that overlap. Words are runs of letters
+a-z and digits, for anchors too. Null and empty texts have none. Equal rows are
+kept, and each counts its own paragraphs.
 """
 
 from __future__ import annotations
@@ -230,14 +232,19 @@ def model() -> tuple[dict[str, list[float]], list[float], float, list[str]]:
 
 
 def paragraphs(docs: DataFrame, key: str, text: str, anchors: list[str]) -> DataFrame:
-    """(key, words): every line or window that holds an anchor word."""
-    anchor = r"(?i)\b(?:" + "|".join(anchors) + r")\b"
-    lines = docs.where(F.col(text).rlike(anchor)).select(key, F.explode(F.split(text, "\n")).alias("_line"))
-    words = lines.where(F.col("_line").rlike(anchor)).select(
-        key, F.expr("regexp_extract_all(translate(_line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+', 0)").alias("_w")
+    """(key, twin, parts): of rows with an anchor word, the words of every paragraph or window that holds one.
+
+    twin tells rows of one key with different texts apart; equal rows are one.
+    """
+    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(anchors) + r")(?![a-z0-9])"
+    blocks = F.filter(F.split(text, r"\r?\n[ \t\r]*\n"), lambda x: x.rlike(anchor))
+    some = docs.where(F.col(text).rlike(anchor)).select(F.col(key).alias("_key"), F.xxhash64(text).alias("twin"), blocks.alias("_b"))
+    words = F.expr("transform(_b, x -> regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+', 0))")
+    parts = F.expr(
+        f"flatten(transform(_w, w -> transform(sequence(0, greatest(size(w) - {WINDOW - STEP + 1}, 0), {STEP}), i -> array_join(slice(w, i + 1, {WINDOW}), ' '))))"
     )
-    parts = F.expr(f"transform(sequence(0, greatest(size(_w) - {WINDOW - STEP + 1}, 0), {STEP}), i -> slice(_w, i + 1, {WINDOW}))")
-    return words.where(F.size("_w") > 0).select(key, F.explode(parts).alias("words"))
+    held = some.withColumn("_w", words).select("_key", "twin", F.filter(parts, lambda x: x.rlike(anchor)).alias("parts"))
+    return held.groupBy("_key", "twin").agg(F.first("parts").alias("parts"))
 
 
 def classify(distinct: DataFrame) -> DataFrame:
@@ -292,18 +299,20 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     families: confirmed families in order; n_paragraphs and probability (the
     greatest) are of paragraphs taken for some family; confirmed: whether any is.
     """
-    found = durable(paragraphs(docs, key, text, model()[3]).select(key, F.array_join("words", " ").alias("paragraph")).groupBy(key, "paragraph").agg(F.count("*").alias("_n")))
+    each = paragraphs(docs, key, text, model()[3]).select("_key", "twin", F.explode("parts").alias("paragraph"))
+    found = durable(each.groupBy("_key", "twin", "paragraph").agg(F.count("*").alias("_n")))
     kinds = durable(
         classify(found.select("paragraph").distinct()).groupBy("paragraph").agg(
             F.collect_set(F.when(F.col("cover") >= COVER, F.col("family"))).alias("families"), F.max("probability").alias("probability")
         )
     )
-    named = found.join(kinds, "paragraph").groupBy(key).agg(
+    named = found.join(kinds, "paragraph").groupBy("_key", "twin").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))).alias("families"),
         F.sum("_n").alias("n_paragraphs"), F.max("probability").alias("probability"),
         F.max(F.size("families") > 0).alias("confirmed"),
     )
-    return docs.select(key).join(named, key, "left").select(
+    every = docs.select(key, F.xxhash64(text).alias("_twin"))
+    return every.join(named, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_twin") == F.col("twin")), "left").select(
         key, F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"),
         F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"),
     )

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import importable, pieces, string_column, table
+from .common import importable, pieces, string_column, table, tidied
 
 WIDTH = 64
 CHUNK = 1 << 16
@@ -75,6 +75,8 @@ def read_png(stored: bytes) -> np.ndarray:
         if struct.unpack_from(">I", stored, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise DamagedImage(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if size != 13:
+                raise DamagedImage("header size")
             header = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
@@ -162,7 +164,7 @@ def encode_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                     [key, "n_bytes", "media"],
                 )
 
-    return docs.select(key, text).mapInArrow(encode, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select(key, text).mapInArrow(tidied(encode), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
 MEDIA = (
@@ -198,7 +200,7 @@ def decode_media(media: DataFrame, *, key: str = "doc_id", strict: bool = True)
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, *names])
 
-    return media.select(key, "n_bytes", "media").mapInArrow(decode, f"`{key}` {media.schema[key].dataType.simpleString()}, {MEDIA}")
+    return media.select(key, "n_bytes", "media").mapInArrow(tidied(decode), f"`{key}` {media.schema[key].dataType.simpleString()}, {MEDIA}")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Every whole text gives ``STATISTICS`` numbers (lengths, character classes,
 repetition of words and lines, compressibility, byte entropy). Features
 cos(w.x + b) with normal w approximate a Gaussian kernel over the standardised
 statistics; ``features`` bounds their number. Normal equations are summed per
-partition, then in groups of partitions, so that the driver receives at most
-``GROUPS`` matrices however many rows there are. Labelled rows fall into
+partition, then in groups as many as the root of the number of partitions, then
+over the groups, so that a task adds few matrices and the driver receives one
+for each fold however many rows there are. Labelled rows fall into
 ``FOLDS`` folds; each fold is scored by the model of the others, and the
 isotonic map is fitted to those scores through a histogram of fixed size.
 
@@ -28,11 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_column, table
+from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_column, table, tidied
 
 FEATURES = 192
 FOLDS = 4
-GROUPS = 8
 BINS = 2048
 RIDGE = 1e-4
 THRESHOLD = 0.3
@@ -105,7 +105,7 @@ def document_statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "te
             rows = [statistics(x) for x in string_column(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, pa.list_(pa.float64()))], [key, "stats"])
 
-    return docs.select(key, text).mapInArrow(describe, f"`{key}` {docs.schema[key].dataType.simpleString()}, stats array<double>")
+    return docs.select(key, text).mapInArrow(tidied(describe), f"`{key}` {docs.schema[key].dataType.simpleString()}, stats array<double>")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -113,36 +113,29 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _summed(df: DataFrame, sums) -> dict:
-    """Blocks that ``sums`` makes of each partition's frames, summed by name in two steps.
+    """Blocks that ``sums`` makes of each partition's frames, summed by name in three steps.
 
     sums(frames) returns {name: array}. Arrays of a name have one shape.
     """
+    groups = max(1, round(df.rdd.getNumPartitions() ** 0.5))
 
     def partial(frames):
-        part = TaskContext.get().partitionId() % GROUPS
+        part = TaskContext.get().partitionId() % groups
         for name, block in sums(frames).items():
             yield pd.DataFrame({"part": [part], "name": [name], "block": [np.asarray(block, np.float64).tobytes()]})
 
-
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for block in batch.column("block"):
                 x = np.frombuffer(block.as_buffer(), np.float64)
                 total = x.copy() if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([key[1].as_py()]), pa.array([total.tobytes()])], ["name", "block"])
-
-    found = (
-        df.mapInPandas(partial, "part int, name string, block binary")
-        .groupBy("part", "name")
-        .applyInArrow(merge, "name string, block binary")
-        .collect()
-    )
-    out: dict[str, np.ndarray] = {}
-    for r in found:
-        x = np.frombuffer(r["block"], np.float64)
-        out[r["name"]] = out[r["name"]] + x if r["name"] in out else x
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array([key[-1].as_py()]), pa.array([total.tobytes()])], ["name", "block"])
+
+    kind = "name string, block binary"
+    of_groups = df.mapInPandas(partial, f"part int, {kind}").groupBy("part", "name").applyInArrow(merge, kind)
+    found = of_groups.groupBy("name").applyInArrow(merge, kind).collect()
+    return {r["name"]: np.frombuffer(r["block"], np.float64) for r in found}
 
 
 class Model:

@@ -445,6 +445,40 @@ def test_a_paragraph_names_every_licence(spark):
     assert all(r["n_paragraphs"] == 1 and r["confirmed"] for r in got.values())
 
 
+#: Notices in other words than those that are taught, with their families.
+UNSEEN = {
+    "The source code of this library is released under the MIT license, see the file LICENSE.": ["MIT"],
+    "This software may be used under the Apache License, Version 2.0 (the license).": ["Apache-2.0"],
+    "Distributed under the GNU General Public License version 2 or later.": ["GPL"],
+    "You may copy it under the terms of the GNU Lesser General Public License.": ["LGPL"],
+    "Code in this folder is covered by the 3-Clause BSD License.": ["BSD"],
+    "This file is subject to the Mozilla Public License, v. 2.0.": ["MPL-2.0"],
+    "Text is available under the Creative Commons Attribution-ShareAlike 4.0 License.": ["CC-BY-SA"],
+    "Copyright 2021 by the editors. All rights reserved.": ["all rights reserved"],
+    "The licence plates of both cars were stolen in the general area of the library.": [],
+    "All members of the public have the right to a copy of the report.": [],
+    "He paid for the license to sell software in the state, and so did she.": [],
+    "The foundation published the second version of its public report.": [],
+}
+
+
+def test_unseen_notices(spark):
+    got = {r["doc_id"]: r["families"] for r in licenses.license_scan(documents(spark, UNSEEN)).collect()}
+    right = [got[i] == want for i, want in enumerate(UNSEEN.values())]
+    assert sum(right) >= 10 and all(right[-4:]), [(x, got[i]) for i, x in enumerate(UNSEEN) if not right[i]]
+
+
+def test_licences_in_wrapped_lines_underscores_and_repeated_rows(spark):
+    wrapped = "Intro line.\nThis work is licensed\nunder the GNU General\nPublic License, version 3.\n\nOther words.\r\n\r\nReleased under\r\nthe ISC License."
+    some = [wrapped, "__Released_under_the_MIT_License__", "x\n\n" * 50_000 + "Released under the MIT License.\n\n" + "word " * 50_000]
+    docs = documents(spark, some)
+    docs = docs.unionByName(docs).unionByName(documents(spark, ["Released under the ISC License.", None], 0)).unionByName(docs.select(*docs.columns).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted((str(r["doc_id"]), ",".join(r["families"]), r["n_paragraphs"]) for r in licenses.license_scan(docs).collect())
+    three = [("GPL,ISC", 2), ("MIT", 1), ("MIT", 1)]
+    want = [*((str(i), *x) for i, x in enumerate(three) for _ in range(2)), ("0", "ISC", 1), ("1", "", 0), *(("None", *x) for x in three)]
+    assert got == sorted(want)
+
+
 # Media --------------------------------------------------------------------------------------
 
 
@@ -486,6 +520,43 @@ def test_damaged_images():
             media.read_png(bytes(bad))
     with pytest.raises(media.DamagedImage):
         media.read_png(good[:-5])
+    short = media.SIGNATURE + media._chunk(b"IHDR", b"abc") + media._chunk(b"IEND", b"")
+    with pytest.raises(media.DamagedImage):
+        media.read_png(short)
+
+
+def test_media_of_nothing_repeats_and_damage(spark):
+    docs = documents(spark, ["a", "a", None])
+    assert media.decode_media(media.encode_media(docs.where("false"))).collect() == []
+    got = media.decode_media(media.encode_media(docs.unionByName(docs))).collect()
+    assert len(got) == 6 and len({r["media_sha256"] for r in got if r["doc_id"] < 2}) == 1
+    bad = spark.createDataFrame([(1, 5, b"no image"), (2, 5, None)], "doc_id long, n_bytes long, media binary")
+    assert [r["payload_sha256"] for r in media.decode_media(bad, strict=False).collect()] == [None, None]
+
+
+def test_cosine_hash_by_definition():
+    """64 bits of the lowest frequencies of 32 x 32 means, by sums over the definition."""
+    rng = np.random.default_rng(2)
+    for height in (20, 70):
+        samples = rng.integers(0, 256, (height, 64)).astype(np.uint8)
+        rows = [[samples[i * height // 32 : (i + 1) * height // 32] if height >= 32 else samples[i * height // 32 :][:1]] for i in range(32)]
+        grid = [[float(np.mean([r[0][:, 2 * j : 2 * j + 2].mean(0) if height < 32 else r[0][:, 2 * j : 2 * j + 2]])) for j in range(32)] for r in rows]
+        k = np.arange(32)
+        low = [[sum(grid[y][x] * np.cos(np.pi * (y + 0.5) * u / 32) * np.cos(np.pi * (x + 0.5) * v / 32) for y in k for x in k) for v in range(8)] for u in range(8)]
+        low = np.rint(np.array(low) * 1e6).ravel()
+        bits = np.unpackbits(np.frombuffer(media.cosine_hash(samples), np.uint8))
+        sure = np.abs(low - np.median(low)) > 10
+        assert sure.sum() > 40 and (bits[sure] == (low > np.median(low))[sure]).all()
+
+
+def test_quality_of_long_and_repeated_texts(spark):
+    docs, labels = labelled(spark, n=150)
+    more = documents(spark, [" ".join(WORDS * 30_000), "tie", "tie"], 5000)
+    got = quality.quality_scores(docs.unionByName(docs).unionByName(more), labels.unionByName(labels)).collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(got) == 2 * 154 + 3 and all(len(x) == 1 for x in by_id.values()) and by_id[5001] == by_id[5002]
 
 
 # Classifiers -----------------------------------------------------------------------------------
