@@ -8,20 +8,20 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .errors import StratumError
+from .errors import SizeLimit, StratumError
 from .operators.ledger import NoSourceBytes
 from .plans import analysis, render, state
 from .sources.repository import fetch_snapshot
 
 
-def fetch(url: str) -> bytes:
-    """Over HTTPS; one byte more than the largest limit at most."""
+def fetch(url: str, most: int = 64 << 20) -> bytes:
+    """Over HTTPS; one byte more than ``most`` at most, and nothing where the answer says that it is longer."""
     from urllib.request import urlopen
 
-    from .sources.repository import LIMITS
-
     with urlopen(url, timeout=60) as r:  # noqa: S310
-        return r.read(max(LIMITS.values()) + 1)
+        if int(r.headers.get("Content-Length") or 0) > most:
+            raise SizeLimit(f"{url}: more than {most} bytes")
+        return r.read(most + 1)
 
 
 def parser() -> argparse.ArgumentParser:

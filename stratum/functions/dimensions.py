@@ -12,37 +12,37 @@ GRANULAR_PROTOCOL = "stratum-granular-density-v1"
 FUNCTION_PROTOCOL = "stratum-rust-spans-v1"
 REPOSITORY_PROTOCOL = "stratum-repository-snapshot-v1"
 COMPARISON_PROTOCOL = "stratum-repository-comparison-v1"
-DETECTOR = "rolling-double-fingerprint-64-sampled-v1"
+DETECTOR = "stratum-byte-sum-windows-64-xxh3-v1"
 ANALYSIS_SCHEMA, LEDGER_SCHEMA = 2, 1
 DATABASE_SCHEMA, RELATION_SCHEMA, GRANULAR_SCHEMA, REPOSITORY_SCHEMA, COMPARISON_SCHEMA, CACHE_SCHEMA = 1, 1, 1, 1, 1, 1
 
 #: Languages in canonical order with their file extensions (case matters).
 LANGUAGES = [
-    ("Rust", "rs"),
-    ("C", "c"),
-    ("C Header", "h"),
-    ("C++", "cc cpp cxx"),
-    ("C++ Header", "hh hpp hxx"),
-    ("Assembly", "S s asm"),
-    ("Python", "py"),
-    ("Go", "go"),
-    ("JavaScript", "js mjs cjs"),
-    ("JSX", "jsx"),
-    ("TypeScript", "ts mts cts"),
-    ("TSX", "tsx"),
-    ("Java", "java"),
-    ("Kotlin", "kt kts"),
-    ("Swift", "swift"),
-    ("Objective-C", "m"),
-    ("Objective-C++", "mm"),
-    ("C#", "cs"),
-    ("Ruby", "rb"),
-    ("PHP", "php"),
-    ("Shell", "sh bash zsh"),
-    ("Lua", "lua"),
-    ("Zig", "zig"),
-    ("Scala", "scala sc"),
-    ("Haskell", "hs lhs"),
+    ("Rust", ["rs"]),
+    ("C", ["c"]),
+    ("C Header", ["h"]),
+    ("C++", ["cc", "cpp", "cxx"]),
+    ("C++ Header", ["hh", "hpp", "hxx"]),
+    ("Assembly", ["S", "s", "asm"]),
+    ("Python", ["py"]),
+    ("Go", ["go"]),
+    ("JavaScript", ["js", "mjs", "cjs"]),
+    ("JSX", ["jsx"]),
+    ("TypeScript", ["ts", "mts", "cts"]),
+    ("TSX", ["tsx"]),
+    ("Java", ["java"]),
+    ("Kotlin", ["kt", "kts"]),
+    ("Swift", ["swift"]),
+    ("Objective-C", ["m"]),
+    ("Objective-C++", ["mm"]),
+    ("C#", ["cs"]),
+    ("Ruby", ["rb"]),
+    ("PHP", ["php"]),
+    ("Shell", ["sh", "bash", "zsh"]),
+    ("Lua", ["lua"]),
+    ("Zig", ["zig"]),
+    ("Scala", ["scala", "sc"]),
+    ("Haskell", ["hs", "lhs"]),
 ]
 
 #: zstd-19 ratios of public project streams of 64 KiB and more, by language.
@@ -90,7 +90,7 @@ COHORT_BYTES = 65_536
 
 def language_table(spark: SparkSession) -> DataFrame:
     """(extension, language, lang_ord); one short row per extension."""
-    rows = [(x, name, i) for i, (name, some) in enumerate(LANGUAGES) for x in some.split()]
+    rows = [(x, name, i) for i, (name, some) in enumerate(LANGUAGES) for x in some]
     return spark.createDataFrame(rows, "extension string, language string, lang_ord int")
 
 

@@ -31,8 +31,10 @@ def from_text(table: DataFrame, *, corpus: Column, path: Column, language: Colum
 
 
 def number_path(column: str) -> Column:
-    """An id as a path whose byte order is the id's order."""
-    return F.lpad(F.col(column).cast("string"), 12, "0")
+    """An integer id as a path whose byte order is the id's order: negative ones first, by their distance from the least; null is last."""
+    n = F.col(column).cast("long")
+    below = F.concat(F.lit("-"), F.lpad((n - F.lit(-(1 << 63))).cast("string"), 19, "0"))
+    return F.when(n.isNull(), "null").when(n < 0, below).otherwise(F.lpad(n.cast("string"), 20, "0"))
 
 
 def documents(table: DataFrame) -> DataFrame:

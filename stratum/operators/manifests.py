@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import COMMIT, DIGEST
+from ..storage import numbered
 
 MANIFEST = "idx int, name string, version string, revision string, source_url string, archive_sha256 string, path string, path_exists boolean, path_is_dir boolean"
 
@@ -54,5 +55,4 @@ def duplicate_identities(projects: DataFrame) -> DataFrame:
 
 def sorted_projects(projects: DataFrame) -> DataFrame:
     """Projects numbered by (name, version), without local paths."""
-    order = F.expr("row_number() OVER (ORDER BY name, version)")
-    return projects.select(order.cast("long").alias("position"), "name", "version", "revision", "source_url", "archive_sha256")
+    return numbered(projects, ["name", "version"], "position", 1).select("position", "name", "version", "revision", "source_url", "archive_sha256")

@@ -128,10 +128,29 @@ def stream_sizes(files: DataFrame, keys: list[str], order: list[str], encoders:
     return dealt.mapInArrow(feed, f"{kinds}, file_count bigint, original_bytes bigint, sha256 string, sizes map<string,bigint>")
 
 
+def file_metric(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The stream metric of each row by itself, where it is read."""
+    kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+
+    def measure(batches):
+        for batch in batches:
+            rows = [(len(x), hashlib.sha256(x).hexdigest(), compressed_size(x)) for x in (c.as_py() or b"" for c in batch.column("content"))]
+            sizes, digests, made = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), pa.array([1] * len(rows), pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(made, pa.int64())],
+                [*keys, "file_count", "original_bytes", "sha256", "size"],
+            )
+
+    found = files.select(*keys, "content").mapInArrow(measure, f"{kinds}, file_count bigint, original_bytes bigint, sha256 string, size bigint")
+    return _metric(found, keys, F.col("size"))
+
+
 def stream_metric(files: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """(keys, file_count, original_bytes, compressed_bytes, ratio, savings, sha256) by zstd at level 19."""
-    made = stream_sizes(files, keys, order or ["path"], ["zstd-19"])
-    size = F.col("sizes")["zstd-19"]
+    return _metric(stream_sizes(files, keys, order or ["path"], ["zstd-19"]), keys, F.col("sizes")["zstd-19"])
+
+
+def _metric(made: DataFrame, keys: list[str], size: Column) -> DataFrame:
     return made.select(*keys, "file_count", "original_bytes", size.alias("compressed_bytes"), *_shares(size, F.col("original_bytes")), "sha256")
 
 

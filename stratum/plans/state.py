@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import os
+import tempfile
 import re
 import stat
 
@@ -24,23 +24,18 @@ IGNORE, SNAPSHOT, CACHE = ".gitignore", "analysis.json", "cache.json"
 IGNORED = b"*\n!.gitignore\n"
 DOMAIN = "stratum-recognised-source-manifest-v1"
 FIELDS = ("name", "version", "revision", "source_url", "archive_sha256", "path")
-_counter = itertools.count()
 
 
 def write_atomic(path: str, data: bytes) -> None:
     """A new sibling, synced and renamed over the target; removed if anything fails."""
     folder, name = os.path.split(path)
-    for _ in range(100):
-        made = os.path.join(folder, f".{name}.stratum.tmp.{os.getpid()}.{next(_counter)}")
-        try:
-            handle = os.open(made, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o644)
-            break
-        except FileExistsError:
-            continue
-    else:
-        raise OutputError(f"no temporary name beside {path}")
+    try:
+        handle, made = tempfile.mkstemp(prefix=f".{name}-", suffix=".part", dir=folder or ".")
+    except FileExistsError as e:
+        raise OutputError(f"no temporary name beside {path}") from e
     try:
         with os.fdopen(handle, "wb") as f:
+            os.fchmod(handle, 0o644)
             f.write(data)
             f.flush()
             os.fsync(f.fileno())

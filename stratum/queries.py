@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,15 @@ def query(sql: str | None = None):
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _importable(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(y for y in (root, env.get("PYTHONPATH", "")) if y)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +59,7 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
 
 
-_PATH = "lpad(CAST(doc_id AS VARCHAR), 12, '0')"
+_PATH = "CASE WHEN doc_id IS NULL THEN 'null' WHEN doc_id < 0 THEN format('-{:019d}', 9223372036854775807 + doc_id + 1) ELSE format('{:020d}', doc_id) END"
 _F = f"f AS (SELECT source AS corpus, {_PATH} AS path, lang AS language, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents)"
 #: Every byte of every file: (corpus, path, language, pos, b).
 _BYTES = f"""{_F}, h AS (SELECT corpus, path, language, size, hex(encode(text)) AS hx FROM f),
@@ -80,7 +85,7 @@ def ledger_by_language(spark, sf_dir):
 
 @query(f"WITH {_F} SELECT corpus, path, language, size AS original_bytes, sha256(text) AS sha256 FROM f")
 def ledger_by_file(spark, sf_dir):
-    return _documents(spark, sf_dir).select("corpus", "path", "language", F.col("size").alias("original_bytes"), F.sha2("content", 256).alias("sha256"))
+    return ledger.by_file(_documents(spark, sf_dir)).select("corpus", "path", "language", "original_bytes", "sha256")
 
 
 @query(f"""WITH {_F} SELECT corpus, language, count(*) AS file_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS original_bytes,
@@ -90,7 +95,7 @@ def ledger_grouping_sets(spark, sf_dir):
 
 
 _EMPTY = [("p", "empty.py", ""), ("p", "nonempty.rs", "x"), ("q", "a.rs", "first"), ("q", "b.rs", "second"), ("q", "unknown.bin", "zz")]
-_LANGUAGE = [(e, n, i) for i, (n, some) in enumerate(d.LANGUAGES) for e in some.split()]
+_LANGUAGE = [(e, n, i) for i, (n, some) in enumerate(d.LANGUAGES) for e in some]
 
 
 def _with_language(values: str) -> str:
@@ -414,9 +419,9 @@ def candidates_symbol(spark, sf_dir):
     return similarity.by_symbol(*_sides(spark, sf_dir))
 
 
-@query(f"WITH {_F}, {_BLOCKS}, u AS ({_FP} UNION {_SY}) SELECT i, j, (SELECT count(*) FROM u) > 5 AS truncated FROM u ORDER BY i, j LIMIT 5")
+@query(f"WITH {_F}, {_BLOCKS}, u AS ({_FP} UNION {_SY}) SELECT i, j, (SELECT count(*) FROM u) > {d.CANDIDATES} AS truncated FROM u ORDER BY i, j LIMIT {d.CANDIDATES}")
 def candidates_union_limit(spark, sf_dir):
-    found, truncated = similarity.candidates(*_sides(spark, sf_dir), limit=5)
+    found, truncated = similarity.candidates(*_sides(spark, sf_dir))
     return found.withColumn("truncated", F.lit(truncated))
 
 
@@ -479,12 +484,14 @@ def database_sorted(spark, sf_dir):
     return manifests.sorted_projects(_projects(spark).where("idx <> 10"))
 
 
-@query("""WITH a AS (SELECT conv_id, sha256(text) AS h FROM conversations WHERE turn = 0), b AS (SELECT conv_id, sha256(text) AS h FROM conversations WHERE turn = 2)
-SELECT CAST(coalesce(a.conv_id, b.conv_id) AS VARCHAR) AS path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS change
-FROM a FULL JOIN b ON a.conv_id = b.conv_id""")
+@query("""WITH c AS (SELECT conv_id || '/' || turn // 2 AS path, turn % 2 AS side, sha256(text) AS h FROM conversations),
+a AS (SELECT * FROM c WHERE side = 0), b AS (SELECT * FROM c WHERE side = 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS change
+FROM a FULL JOIN b ON a.path = b.path""")
 def snapshot_change_join(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), "turn", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
-    return ledger.snapshot_changes(rows.where("turn = 0"), rows.where("turn = 2"))
+    path = F.concat_ws("/", F.col("conv_id").cast("string"), F.floor(F.col("turn") / 2).cast("string"))
+    rows = _table(spark, sf_dir, "conversations").select(path.alias("path"), "turn", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+    return ledger.snapshot_changes(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"))
 
 
 _URLS = [(u,) for u in [_URL, _URL + ".git", _URL + "/", " " + _URL + " ", _URL + "/tree/main", _URL + "/tree/a/b", _URL + "/commit/" + _A40, _URL + "/commit/abc", "http://github.com/o/r", "https://github.com/o", "https://github.com//r", _URL + "/issues/1", "https://github.com/o/r?x"]]
@@ -496,9 +503,33 @@ nullif(regexp_replace(regexp_extract(trim(u), '^https://github\\.com/[A-Za-z0-9.
 nullif(regexp_extract(trim(u), '^https://github\\.com/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+/(tree/([A-Za-z0-9._-]+)|commit/([0-9A-Fa-f]{{40}}))/*$', 2) || regexp_extract(trim(u), '^https://github\\.com/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+/(tree/([A-Za-z0-9._-]+)|commit/([0-9A-Fa-f]{{40}}))/*$', 3), '') AS revision
 FROM {_values(_URLS)} AS v(u)""")
 def url_grammar(spark, sf_dir):
-    rows = spark.createDataFrame(_URLS, "url string")
-    part = lambda i: F.nullif(F.regexp_extract("url", x.REPOSITORY_URL, i), F.lit(""))
-    return rows.select("url", F.col("url").rlike(x.REPOSITORY_URL).alias("valid"), part(1).alias("owner"), part(2).alias("repository"), F.coalesce(part(3), part(4)).alias("revision"))
+    from .sources import repository
+
+    def parse(url):
+        found = _or_none(repository.parse_address, url)
+        return (url, found is not None, *((found.owner, found.repository, found.revision) if found else (None, None, None)))
+
+    return _mapped(spark.createDataFrame(_URLS, "url string"), parse, "url string, valid boolean, owner string, repository string, revision string")
+
+
+def _or_none(f, *args):
+    from .errors import StratumError
+
+    try:
+        return f(*args)
+    except StratumError:
+        return None
+
+
+def _mapped(rows: DataFrame, f, schema: str) -> DataFrame:
+    """``f`` of each row's values, as a row."""
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([f(*r) for r in frame.itertuples(index=False, name=None)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    _importable(rows.sparkSession)
+    return rows.mapInPandas(run, schema)
 
 
 _REFS = [("HEAD", "1" * 40), ("refs/heads/main", "2" * 40), ("refs/tags/v1", "3" * 40), ("refs/tags/v1^{}", "4" * 40), ("refs/heads/both", "5" * 40), ("refs/tags/both", "6" * 40), ("refs/tags/light", "7" * 40)]
@@ -509,22 +540,24 @@ _WANTED = [(w,) for w in ["HEAD", "main", "v1", "both", "light", "none"]]
 SELECT revision, coalesce(h.c, a.c, b.c, t.c) AS "commit" FROM w LEFT JOIN r h ON w.revision = 'HEAD' AND h.name = 'HEAD' LEFT JOIN r a ON a.name = 'refs/heads/' || revision
 LEFT JOIN r b ON b.name = 'refs/tags/' || revision || '^{{}}' LEFT JOIN r t ON t.name = 'refs/tags/' || revision""")
 def ref_precedence(spark, sf_dir):
-    refs, wanted = spark.createDataFrame(_REFS, "name string, c string"), spark.createDataFrame(_WANTED, "revision string")
-    r = F.col("revision")
-    names = F.when(r == "HEAD", F.array(r)).otherwise(F.array(F.concat(F.lit("refs/heads/"), r), F.concat(F.lit("refs/tags/"), r, F.lit("^{}")), F.concat(F.lit("refs/tags/"), r)))
-    tries = wanted.select("revision", F.posexplode(names).alias("k", "name")).join(refs, "name", "left")
-    return tries.groupBy("revision").agg(F.min_by("c", F.when(F.col("c").isNotNull(), F.col("k"))).alias("commit"))
+    from .sources import repository
+
+    def find(revision):
+        return revision, _or_none(repository.resolve, repository.Address("o", "r", revision), dict(_REFS))
 
+    return _mapped(spark.createDataFrame(_WANTED, "revision string"), find, "revision string, commit string")
 
-_PAGES = [("one", '"currentOid":"' + "a" * 40 + '"'), ("same", ('"currentOid":"' + "b" * 40 + '" x ') * 2), ("two", '"currentOid":"' + "c" * 40 + '""currentOid":"' + "d" * 40 + '"'), ("none", "x"), ("case", '"currentOid":"' + "E" * 40 + '"')]
 
+_PAGES = [("one", '"currentOid":"' + "a" * 40 + '"'), ("same", ('"currentOid":"' + "b" * 40 + '" x ') * 2), ("two", '"currentOid":"' + "c" * 40 + '""currentOid":"' + "d" * 40 + '"'), ("none", "x"), ("case", '"currentOid":"' + "E" * 40 + '"'), ("malformed", '"currentOid":"' + "f" * 40 + '" "currentOid":"' + "f" * 39 + '"')]
 
-@query(f"""WITH v AS (SELECT k, list_distinct(list_transform(regexp_extract_all(page, '"currentOid":"([0-9A-Fa-f]{{40}})"', 1), lambda y: lower(y))) AS c FROM {_values(_PAGES)} AS v(k, page))
-SELECT k, CASE WHEN len(c) = 1 THEN c[1] END AS "commit" FROM v""")
+
+@query(f"""WITH v AS (SELECT k, list_distinct(list_transform(regexp_extract_all(page, '"currentOid":"([0-9A-Fa-f]{{40}})"', 1), lambda y: lower(y))) AS c,
+len(string_split(page, '"currentOid":"')) - 1 <> len(regexp_extract_all(page, '"currentOid":"[0-9A-Fa-f]{{40}}"')) AS wrong FROM {_values(_PAGES)} AS v(k, page))
+SELECT k, CASE WHEN len(c) = 1 AND NOT wrong THEN c[1] END AS "commit" FROM v""")
 def current_oid(spark, sf_dir):
-    rows = spark.createDataFrame(_PAGES, "k string, page string")
-    found = F.array_distinct(F.transform(F.regexp_extract_all("page", F.lit('"currentOid":"([0-9A-Fa-f]{40})"'), F.lit(1)), F.lower))
-    return rows.select("k", F.when(F.size(found) == 1, F.get(found, F.lit(0))).alias("commit"))
+    from .sources import repository
+
+    return _mapped(spark.createDataFrame(_PAGES, "k string, page string"), lambda k, page: (k, _or_none(repository.commit_of_page, page.encode())), "k string, commit string")
 
 
 _DIGESTS = [("sha256:" + _D64,), ("sha256:" + _D64.upper(),), (_D64,), ("sha256:12",), (None,)]
@@ -532,9 +565,9 @@ _DIGESTS = [("sha256:" + _D64,), ("sha256:" + _D64.upper(),), (_D64,), ("sha256:
 
 @query(f"SELECT v AS digest, CASE WHEN regexp_full_match(v, 'sha256:[0-9A-Fa-f]{{64}}') THEN lower(substr(v, 8)) END AS hex FROM {_values(_DIGESTS)} AS t(v)")
 def release_digests(spark, sf_dir):
-    rows = spark.createDataFrame(_DIGESTS, "digest string")
-    hx = F.substring("digest", 8, 64)
-    return rows.select("digest", F.when(F.col("digest").startswith("sha256:") & F.expr("substring(digest, 8)").rlike(x.DIGEST), F.lower(hx)).alias("hex"))
+    from .sources import release
+
+    return _mapped(spark.createDataFrame(_DIGESTS, "digest string"), lambda v: (v, _or_none(release.parse_digest, v)), "digest string, hex string")
 
 
 # Streaming (an addition) -------------------------------------------------------------
@@ -542,15 +575,13 @@ def release_digests(spark, sf_dir):
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS "begin", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def streaming_event_windows(spark, sf_dir):
-    import tempfile
-
+    from .storage import shared_folder
     from .streaming.incremental import all_available, event_windows
 
     table = _table(spark, sf_dir, "events")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_dir(sf_dir))
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{named.rstrip('/')}/stratum-stream" if named else tempfile.mkdtemp(prefix="stratum-stream-")
-    found = all_available(event_windows(stream.withColumn("ts", F.col("ts").cast("timestamp"))), f"{base}/{os.urandom(8).hex()}")
+    base = f"{shared_folder(spark)}/stratum-stream/{os.urandom(8).hex()}"
+    found = all_available(event_windows(stream.withColumn("ts", F.col("ts").cast("timestamp"))), base)
     return found.select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

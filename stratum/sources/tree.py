@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import InputNotFound, PathError
 from ..functions.dimensions import EXCLUDED, LANGUAGES
 
-_extensions = {x: (name, i) for i, (name, some) in enumerate(LANGUAGES) for x in some.split()}
+_extensions = {x: (name, i) for i, (name, some) in enumerate(LANGUAGES) for x in some}
 
 
 def language_of(path: str) -> tuple[str, int] | None:

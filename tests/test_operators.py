@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from stratum.errors import FunctionSyntaxError
 from stratum.functions import dimensions as d
 from stratum.functions import expressions as x
-from stratum.operators import ledger, scoring, signals, similarity, streams, structure
+from stratum.operators import corpus, ledger, scoring, signals, similarity, streams, structure
+from stratum.storage import numbered
 from stratum.operators.rust_functions import functions
 
 FILES = "corpus string, path string, language string, lang_ord int, content binary, size long"
@@ -97,6 +98,33 @@ def test_noise_of_random_bytes_and_union(spark):
     assert alone["noise_ratio"] > 0.90 and alone["flagged_bytes"] == 16384
 
 
+def test_paths_of_numbers_keep_their_order(spark):
+    ids = [-(1 << 63), -5, -1, 0, 7, 1234567890123, 1234567890124, (1 << 63) - 1, None]
+    rows = spark.createDataFrame([(i, "t", "en", "s") for i in ids], "doc_id long, text string, lang string, source string")
+    paths = [r["path"] for r in corpus.documents(rows).collect()]
+    assert len(set(paths)) == len(ids) and paths == sorted(paths, key=str.encode)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_plans_read_contents_once_and_where_they_are(spark):
+    rows = spark.createDataFrame([("c", f"p{i}", "Rust", 0, bytearray(b"fn x() {}\n" * 90), 900) for i in range(9)], "corpus string, path string, language string, lang_ord int, content binary, size long")
+    assert shuffles(ledger.by_file(rows)) == 0
+    noise = signals.noise(rows, ["corpus"])
+    assert noise._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and shuffles(noise) == 1
+    got, want = ledger.by_file(rows).first(), streams.stream_metric(rows.where("path = 'p0'"), ["corpus", "path", "language"]).first()
+    assert got.asDict() == want.asDict()
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, f"x{i % 3}") for i in range(1000)], "a long, b string").repartition(7)
+    got = {(r["a"], r["b"]): r["i"] for r in numbered(rows, ["b", "a"], "i", 1).collect()}
+    assert [got[k] for k in sorted(got, key=lambda k: (k[1], k[0]))] == list(range(1, 1001))
+    assert numbered(rows.where("false"), ["a"], "i").collect() == []
+
+
 def test_union_length(spark):
     rows = spark.createDataFrame([("a", 0, 5), ("a", 5, 7), ("a", 3, 4), ("a", 10, 12), ("a", 11, 15), ("b", 0, 1)], "k string, begin long, end long")
     assert {r["k"]: r["bytes"] for r in signals.union_length(rows, ["k"]).collect()} == {"a": 12, "b": 1}

@@ -19,7 +19,7 @@ def paths(root):
 
 
 def test_language_table_and_last_extension():
-    assert len(LANGUAGES) == 25 and sum(len(x.split()) for _, x in LANGUAGES) == 40
+    assert len(LANGUAGES) == 25 and sum(len(x) for _, x in LANGUAGES) == 40
     assert language_of("a.rs")[0] == "Rust" and language_of("x/a.tar.rs")[0] == "Rust" and language_of("..rs")[0] == "Rust"
     assert language_of("x.S")[0] == language_of("x.s")[0] == "Assembly"
     assert language_of(".rs") is None and language_of("a.") is None and language_of("a.RS") is None
@@ -136,11 +136,13 @@ def test_archives():
         repository.archive_files(b"not gzip")
 
 
-def fetcher(data, broken=False):
-    def fetch(url):
+def fetcher(data, broken=False, refs=None):
+    def fetch(url, most):
         if "info/refs" in url:
             if broken:
                 raise OSError("no")
+            if refs is not None:
+                return refs
             return advertisement((SHA, "HEAD"))
         return b'"currentOid":"' + SHA.encode() + b'"' if "/commit/" in url else data
 
@@ -155,6 +157,26 @@ def test_snapshot(broken):
     assert [p for _, p, _ in repository.snapshot_rows(s, EXCLUDED)] == [".gitignore", "a.rs"]
 
 
+def test_a_malformed_advertisement_is_an_error():
+    for refs in (b"", b"<html>", advertisement((SHA, "HEAD"))[:-4]):
+        with pytest.raises(errors.AdvertisementError):
+            repository.fetch_snapshot("https://github.com/o/r", fetcher(b"", refs=refs))
+
+
+def test_fetches_are_capped_by_kind_and_expansion(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(repository, "EXPANDED", 10)
+    good = fetcher(archive([("a.rs", b"x" * 8), ("b.rs", b"y" * 8)]), broken=True)
+
+    def fetch(url, most):
+        asked[url.split("/")[2] + ("/page" if "/commit/" in url else "/refs" if "info/refs" in url else "")] = most
+        return good(url, most)
+
+    with pytest.raises(errors.SizeLimit):
+        repository.fetch_snapshot("https://github.com/o/r", fetch)
+    assert asked == {"github.com/refs": 8 << 20, "github.com/page": 4 << 20, "codeload.github.com": 256 << 20}
+
+
 def test_snapshot_limits(monkeypatch):
     monkeypatch.setitem(repository.LIMITS, "archive", 3)
     with pytest.raises(errors.SizeLimit):
