@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable, purge, shared_folder  # noqa: F401
+
 #: White space that separates words; fixed value: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,43 +39,6 @@ def importable(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 
-_OWN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none and has no executors of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="stratum-"))
-    return _OWN[0]
-
-
-def durable(df: DataFrame, *by: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Later jobs start from the files, so a lost executor costs a read and not
-    the work before it. Tables go to a folder per application, which
-    ``purge`` removes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stratum-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete every table that ``durable`` wrote in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_folder(spark)}/stratum-{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of an integer column as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
