@@ -402,15 +402,22 @@ def _classed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return nodes.join(named, "sid", "left").select(*nodes.columns, F.coalesce("_c", "sid").alias("class"))
 
 
-def _chunked(nodes: DataFrame, centres: DataFrame) -> DataFrame:
-    """Nodes with their chunk: about ``CHUNK`` of those with one centre (a, b), which is its own."""
-    own = centres.select(F.col("b").alias("sid"), F.col("b").alias("_own")).distinct()
-    other = centres.select(F.col("a").alias("sid"), F.col("b").alias("_b"))
-    named = nodes.join(own, "sid", "left").join(other, "sid", "left").withColumn("_c", F.coalesce("_own", "_b", "sid"))
-    sizes = named.groupBy("_c").agg(F.count("*").alias("_k"))
-    piece = F.pmod(F.xxhash64("sid"), F.ceil(F.col("_k") / CHUNK)).cast("int")
-    both = named.join(sizes.where("_k > 1"), "_c", "left")
-    return both.select(*nodes.columns, F.struct(F.col("_c").alias("centre"), F.coalesce(piece, F.lit(0)).alias("piece")).alias("chunk"))
+def _chunks(centres: DataFrame) -> DataFrame:
+    """(sid, chunk) of centres and their nodes (b, a): about ``CHUNK`` nodes with one centre, which is its own."""
+    own = centres.select(F.col("b").alias("sid")).distinct()
+    other = durable(centres.select(F.col("a").alias("sid"), F.col("b").alias("centre")).join(own, "sid", "left_anti"))
+    sizes = durable(other.groupBy("centre").agg((F.count("*") + 1).alias("_k")))
+    # short rows and a join alone in its stage: skewed ones are split
+    held = durable(other.join(sizes, "centre", "left"))
+    held = held.unionByName(own.withColumn("centre", F.col("sid")).join(sizes, "centre", "left"))
+    piece = F.pmod(F.xxhash64("sid"), F.ceil(F.coalesce("_k", F.lit(1)) / CHUNK)).cast("int")
+    return held.select("sid", F.struct("centre", piece.alias("piece")).alias("chunk"))
+
+
+def _chunked(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Nodes with their chunk; nodes without a centre are one each."""
+    alone = F.struct(F.col("sid").alias("centre"), F.lit(0).alias("piece"))
+    return nodes.join(chunks.withColumnRenamed("chunk", "_q"), "sid", "left").select(*nodes.columns, F.coalesce("_q", alone).alias("chunk"))
 
 
 def _listed(classed: DataFrame) -> DataFrame:
@@ -585,9 +592,11 @@ def jaccard_classes(
     while True:
         last = step > ROUNDS or (step > 0 and good)
         if step:
-            classed = durable(_classed(_chunked(nodes, centres), classes))
+            classed = durable(_classed(_chunked(nodes, chunks), classes))
         if step == 0:
-            pairs = bounded(centres := durable(_star(nodes, percent)), nodes, percent)
+            centres = durable(_star(nodes, percent))
+            chunks = durable(_chunks(centres))
+            pairs = bounded(centres, nodes, percent)
         else:
             lists = durable(_lists(classed))
             pairs = _rest(classed, lists, percent) if last else bounded(_neighbours(lists, percent, step), nodes, percent)
