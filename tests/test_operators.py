@@ -266,3 +266,40 @@ def test_rust_functions():
 def test_unreadable_rust(source):
     with pytest.raises(FunctionSyntaxError):
         functions(source)
+
+
+def closures(source):
+    return [c[4].decode() for c in functions(source.encode()) if c[0] == "closure"]
+
+
+def test_bars_of_patterns_are_no_closures():
+    assert closures("fn f(x: T) { match x { | A => |y| y, | B | C if p(|z| z) => { g(|w| w) } | D => match x { | E => 1, _ => 2 } | F => 3, } }") == ["|y| y", "|z| z", "|w| w"]
+    assert closures("fn f() { let a = match x.iter().map(|v| v) { Some(| 1 | 2) => if c { 1 } else { h(|k| k) } None => |q| q, }; }") == ["|v| v", "|k| k", "|q| q"]
+    assert closures("fn f() { a.map(|x| x | 1).all(|&(a, b)| a || b) }") == ["|x| x | 1", "|&(a, b)| a || b"]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["struct S { a: }", "fn f() { foo(1 2 3) }", "fn f() { let x = ; }", 'fn f() { "a" "b" }', "fn f() { match x { A } }", "fn f() { match x { => 1 } }", "fn f()", "fn f() { 1 x }", "fn f() { a. }", "fn f() { a = }"],
+)
+def test_source_that_does_not_parse_is_an_error(bad):
+    with pytest.raises(FunctionSyntaxError):
+        functions(bad.encode())
+
+
+def test_source_that_parses_is_read():
+    source = """
+    //! inner
+    extern "C" { fn c(x: i32) -> i32; }
+    pub extern "C" fn e(x: u8) -> u8 { x as u8 }
+    /// doc
+    struct S<T: Clone> where T:, { a: u8, b: [u8; 4] }
+    enum E { A = 1, B, C { x: u8 }, D(u8, u16) }
+    impl<T: Clone> S<T> { fn m<'a>(&'a self) -> impl Fn(u8) -> u8 + 'a { move |x| x + 1 } }
+    trait Q { const N: usize = 5; type T; fn d(&self) {} fn r(&self); }
+    fn g() -> Result<(), ()> { let Some(x) = y() else { return Err(()) }; for i in 0..5 { if i > 3 { break } } let t = (1, 2.5, "s", 'c', b"x", r#"raw"#);
+      let _ = match t.0 { 0 => "zero", 1 | 2 => "few", 3..=9 if x => "some", n @ 10.. => { "n" } _ => unsafe { z() }, /* end */ };
+      let v = vec![1 2 3]; let r = ..; let s = &a[1..]; let c: fn(u8) -> u8 = |x| -> u8 { x }; loop {} }
+    """
+    names = [(k, n.split("-")[0]) for k, n, *_ in functions(source.encode())]
+    assert names == [("function", "e"), ("method", "m"), ("closure", "closure"), ("trait_method", "d"), ("trait_method", "r"), ("function", "g"), ("closure", "closure")]
