@@ -570,6 +570,80 @@ def release_digests(spark, sf_dir):
     return _mapped(spark.createDataFrame(_DIGESTS, "digest string"), lambda v: (v, _or_none(release.parse_digest, v)), "digest string, hex string")
 
 
+# Whole analyses ----------------------------------------------------------------------
+
+
+@query(f"""WITH {_F} SELECT corpus, count(language) AS file_count, CAST(sum(size) FILTER (language IS NOT NULL) AS BIGINT) AS original_bytes,
+sha256(string_agg(text, '' ORDER BY path) FILTER (language IS NOT NULL)) AS sha256, count(DISTINCT language) AS languages, count(*) - count(language) AS skipped FROM f GROUP BY corpus""")
+def analysis_ledger(spark, sf_dir):
+    from .plans import analysis
+
+    found = analysis.analyse(_documents(spark, sf_dir), profile=False)
+    rows = [(c, *(a["overall"][k] for k in ("file_count", "original_bytes", "sha256")), len(a["languages"]), a["skipped_file_count"]) for c, a in found.items()]
+    return spark.createDataFrame(rows, "corpus string, file_count long, original_bytes long, sha256 string, languages long, skipped long")
+
+
+@query(f"""WITH {_F}, u AS ({_duplicate_sql("corpus,", "corpus")}) SELECT f.corpus, language, CAST(sum(size) AS BIGINT) AS original_bytes, sha256(string_agg(text, '' ORDER BY path)) AS sha256,
+coalesce(any_value(duplicate_bytes), 0) AS duplicate_bytes FROM f LEFT JOIN u USING (corpus) GROUP BY f.corpus, language""")
+def analysis_profile(spark, sf_dir):
+    from .plans import analysis
+
+    found = analysis.analyse(_documents(spark, sf_dir))
+    rows = [
+        (c, x["language"], x["original_bytes"], x["sha256"], a["profile"]["duplication"]["duplicate_bytes"]) for c, a in found.items() for x in a["languages"]
+    ]
+    return spark.createDataFrame(rows, "corpus string, language string, original_bytes long, sha256 string, duplicate_bytes long")
+
+
+@query(f"WITH {_F} SELECT row_number() OVER (ORDER BY path) AS position, path, language, size AS original_bytes, sha256(text) AS sha256, (SELECT CAST(sum(size) AS BIGINT) FROM f) AS all_bytes FROM f")
+def granular_files(spark, sf_dir):
+    from .plans import analysis
+
+    files = _documents(spark, sf_dir).withColumn("corpus", F.lit("all"))
+    found = analysis.granular(files, analysis.analyse(files, profile=False)["all"], True, True)
+    rows = [(i + 1, r["path"], r["language"], r["original_bytes"], r["sha256"], found["repository"]["overall"]["original_bytes"]) for i, r in enumerate(found["files"])]
+    return spark.createDataFrame(rows, "position long, path string, language string, original_bytes long, sha256 string, all_bytes long")
+
+
+#: Snapshots by address: (address, path, text).
+_SNAPSHOTS = [("https://github.com/o/b", "z.rs", "fn z() { one(); }\n"), ("https://github.com/o/b", "a/m.py", "def m():\n    return 1\n"), ("https://github.com/o/a", "z.rs", "fn z() { two(); }\n"), ("https://github.com/o/a", "notes.txt", "skipped")]
+_SNAPSHOT_SQL = f"s AS (SELECT * FROM {_values(_SNAPSHOTS)} AS s(url, path, text) WHERE NOT path LIKE '%.txt')"
+
+
+def _snapshots():
+    from .sources.repository import Snapshot
+
+    urls = list(dict.fromkeys(u for u, _, _ in _SNAPSHOTS))
+    return [Snapshot(u, _A40.lower(), _D64, [(p, t.encode()) for v, p, t in _SNAPSHOTS if v == u]) for u in urls]
+
+
+@query(f"""WITH {_SNAPSHOT_SQL} SELECT min(url) AS "first", max(url) AS "second", CAST(sum(strlen(text)) FILTER (url LIKE '%/a') AS BIGINT) AS first_bytes,
+CAST(sum(strlen(text)) FILTER (url LIKE '%/b') AS BIGINT) AS second_bytes, count(*) AS file_count, sha256(string_agg(text, '' ORDER BY url, path)) AS sha256,
+(SELECT string_agg('z-z', ',') FROM s a JOIN s b ON a.path = b.path AND a.url < b.url) AS pairs FROM s""")
+def comparison_snapshots(spark, sf_dir):
+    from .plans import analysis
+
+    _importable(spark)
+    r = analysis.compare_snapshots(spark, *_snapshots(), with_functions=True)
+    sizes = [r[f"{k}_analysis"]["overall"]["original_bytes"] for k in ("first", "second")]
+    pairs = ",".join(f"{p['first']['symbol']}-{p['second']['symbol']}" for p in r["function_similarities"])
+    row = (r["first"]["repository_url"], r["second"]["repository_url"], *sizes, r["combined"]["file_count"], r["combined"]["sha256"], pairs)
+    return spark.createDataFrame([row], "first string, second string, first_bytes long, second_bytes long, file_count long, sha256 string, pairs string")
+
+
+@query(f"""WITH {_SNAPSHOT_SQL} SELECT row_number() OVER (ORDER BY url) AS position, right(url, 1) AS name, count(*) AS file_count, CAST(sum(strlen(text)) AS BIGINT) AS original_bytes,
+sha256(string_agg(text, '' ORDER BY path)) AS sha256 FROM s GROUP BY url""")
+def database_ledgers(spark, sf_dir):
+    from .plans import analysis
+
+    _importable(spark)
+    snapshots = _snapshots()
+    projects = [{"name": s.url[-1], "version": "1", "path": "/x"} for s in snapshots]
+    found = analysis.database(spark, projects, dict(enumerate(snapshots)))["projects"]
+    rows = [(i + 1, p["name"], *(p["analysis"]["overall"][k] for k in ("file_count", "original_bytes", "sha256"))) for i, p in enumerate(found)]
+    return spark.createDataFrame(rows, "position long, name string, file_count long, original_bytes long, sha256 string")
+
+
 # Streaming (an addition) -------------------------------------------------------------
 
 

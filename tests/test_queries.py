@@ -34,7 +34,9 @@ def test_against_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
 def test_without_sql(spark, name):
-    assert queries.queries()[name](spark, SF).columns
+    """Rows only; what they hold is tested by operator."""
+    found = queries.queries()[name](spark, SF)
+    assert found.columns and found.count() > 0
 
 
 def test_entry_and_guard(spark):
