@@ -63,34 +63,46 @@ def _bucketed(rows: DataFrame, limit: int, total: int) -> tuple[DataFrame, bool]
         depth = min(BITS, depth + 8)
 
 
-def extendible_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(key, n_bytes, depth, bucket, shard, oversize) of every row.
+def extendible_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT, keep: list[str] = ()) -> DataFrame:
+    """(key, n_bytes, depth, bucket, shard, oversize[, row]) of every row.
 
     bucket is the prefix as a number, shard its bits as text (with those of the
-    second hash after a slash where a key's rows had to part).
+    second hash after a slash where a key's rows had to part). row holds the
+    columns of ``keep``, so that rows of one key in different shards can be told
+    apart. The limit is of the texts' bytes.
     """
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    rows = durable(docs.select(key, size.alias("n_bytes"), hash_bits(F.col(key)).alias("h"), F.xxhash64(text).alias("_t")))
+    row = [F.struct(*keep).alias("row")] if keep else []
+    held = ["row"] if keep else []
+    rows = durable(docs.select(key, size.alias("n_bytes"), hash_bits(F.col(key)).alias("h"), F.xxhash64(text).alias("_t"), *row))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     found, stuck = _bucketed(rows, limit, total)
     name = lambda h, d: F.expr(f"substring(lpad(conv({h}, 10, 2), {BITS}, '0'), 1, {d})")
     plain = found.where("depth >= 0").select(
-        key, "n_bytes", "h", "depth", F.expr(f"shiftright(h, {BITS} - depth)").alias("bucket"), name("h", "depth").alias("shard")
+        key, "n_bytes", "h", "depth", F.expr(f"shiftright(h, {BITS} - depth)").alias("bucket"), name("h", "depth").alias("shard"), *held
     )
     if stuck:
         numbered = durable(found.where("depth < 0").withColumn("_row", F.monotonically_increasing_id()))
         again = numbered.select(
-            key, "n_bytes", F.col("h").alias("_h"), hash_bits(F.concat_ws(":", F.col(key).cast("string"), F.col("_t"), F.col("_row"))).alias("h")
+            key, "n_bytes", F.col("h").alias("_h"), hash_bits(F.concat_ws(":", F.col(key).cast("string"), F.col("_t"), F.col("_row"))).alias("h"), *held
         )
         # the buckets of different keys share the second directory's levels but never a shard
         parted, _ = _bucketed(again, limit, total)
         plain = plain.unionByName(
             parted.select(
                 key, "n_bytes", F.col("_h").alias("h"), F.lit(BITS).alias("depth"), F.col("_h").alias("bucket"),
-                F.concat_ws("/", name("_h", str(BITS)), name("h", "depth")).alias("shard"),
+                F.concat_ws("/", name("_h", str(BITS)), name("h", "depth")).alias("shard"), *held,
             )
         )
-    return plain.select(key, "n_bytes", "depth", "bucket", "shard", (F.col("n_bytes") > limit).alias("oversize"))
+    return plain.select(key, "n_bytes", "depth", "bucket", "shard", (F.col("n_bytes") > limit).alias("oversize"), *held)
+
+
+def write_shards(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
+    """Every row of ``docs``, all its columns, as Parquet in one folder for each shard."""
+    found = extendible_shards(docs, key=key, text=text, limit=limit, keep=docs.columns)
+    folder = F.regexp_replace("shard", "/", "-").alias("shard_id")
+    # a shard is at most the limit or one row, so one task may write it
+    found.select("row.*", folder).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

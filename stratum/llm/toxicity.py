@@ -44,11 +44,11 @@ from .common import crc_mod, durable, importable, pieces, pool_adjacent, string_
 
 TAUGHT = 6000
 BURST = 3
-Z = 4.0
+Z = 3.0
 DOCS = 3
 LEAST = 0.02
 DRIFT = 0.04
-FOLDS = 3
+FOLDS = 5
 STEM = range(4, 10)
 EXPECT = 0.05
 THRESHOLD = 0.3

@@ -359,6 +359,15 @@ def test_sharding_parts_one_key(spark):
     assert sharding.extendible_shards(docs.where("false")).collect() == []
 
 
+def test_written_shards_hold_every_row(spark, texts, tmp_path):
+    docs = documents(spark, [*texts, *["same key " * 30] * 20]).withColumn("doc_id", F.expr("if(doc_id >= 50, 50, doc_id)"))
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", limit=3000)
+    back = spark.read.option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/shards")
+    assert back.columns == docs.columns and docs.exceptAll(back).count() == 0 and back.count() == docs.count()
+    sizes = spark.read.schema(docs.schema.add("shard_id", "string")).parquet(f"file://{tmp_path}/shards").groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"))
+    assert sizes.where("b > 3000 AND n > 1").count() == 0 and sizes.count() > 5
+
+
 def brute_mixture(rows, alpha=0.5, rate=0.5, rounds=30):
     cells = {}
     for key, n in rows:
