@@ -3,6 +3,11 @@
 Every stage takes all that its predecessor kept, and all but the last return
 the columns of ``documents``. ``run`` writes each stage's rows as a table in the
 shared folder and reads it again for the next.
+
+Rows are told apart by doc_id: rows that share one share its decisions, and go
+if any of them is rejected; a null doc_id is never rejected. Null and empty texts
+are scored like others, link with nothing, and are one piece of one id. Of
+rows equal in doc_id and text one stays. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -71,7 +76,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Classifiers and tokenizers are beyond SQL; tests hold run() against its stages, and the stages' operators against brute force or held-out labels.
+#: Classifiers and tokenizers are beyond SQL; a test holds the ids that each stage keeps, and the sequences, against a brute-force version.
 ORACLE_SQL = None
 
 
