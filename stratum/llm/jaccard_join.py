@@ -610,6 +610,7 @@ def jaccard_classes(
         # centres that most nodes link with, or partners that hardly any do, leave little to settle before step 3
         good = 4 * made >= tried if step == 0 else 20 * made < tried
         step += 1
+    order.destroy()
     # the class is named by its least key; both joins stand alone in their stages, so that skewed ones are split
     least = rows.where("n > 0").groupBy("sid").agg(F.min(key).alias("_own"), F.count("*").alias("_rows"))
     named = durable(

@@ -35,7 +35,7 @@ from .common import byte_hashes, grouped, importable, kept, pieces, string_colum
 FREQUENT = 65_536
 SUMMARY = 8_192
 UNIT = 48
-CACHED = 700_000
+CACHED = 300_000
 SLICE = 1 << 18
 GROUP = 1 << 16
 LIMIT = 1024
@@ -140,7 +140,7 @@ class Units:
         self.hash, self.uses = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, "<u4")
         # bytes of every entry, one after another
-        self.spelt, self.begin, self.long = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.spelt, self.begin, self.long = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.written = 0
         if self.first is not None and len(self.first[1]):
             data = np.frombuffer(self.first[0] + b" ", np.uint8)

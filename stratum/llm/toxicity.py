@@ -193,43 +193,49 @@ def _feature_counts(taught: DataFrame) -> DataFrame:
     found = taught.mapInArrow(tidied(count), "feature string, " + ", ".join(f"{c} long" for c in columns))
     sums = found.groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
     docs = sum((F.col(c) for c in columns[2::3]), F.lit(0))
-    return sums.where((docs >= DOCS) | (F.col("feature") == "")).orderBy("feature")
+    return sums.where((docs >= DOCS) | (F.col("feature") == ""))
 
 
-def log_odds(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float, stands: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(z, shrunk log-odds) of features with counts a and b among n_a and n_b words."""
-    prior = min(n_a, n_b)
-    alpha = prior * np.maximum(stands[1] * a + stands[0] * b, 0.5) / (stands[1] * n_a + stands[0] * n_b)
-    odds = lambda c, n: np.log((c + alpha) / np.maximum(n + prior - c - alpha, 0.5))
+def log_odds(a, b, n_a: float, n_b: float, stands: tuple[float, float]) -> tuple:
+    """(z, shrunk log-odds), as columns, of features with counts a and b (columns) among n_a and n_b words."""
+    prior = float(min(n_a, n_b))
+    alpha = F.lit(prior) * F.greatest(F.lit(float(stands[1])) * a + F.lit(float(stands[0])) * b, F.lit(0.5)) / F.lit(float(stands[1] * n_a + stands[0] * n_b))
+    odds = lambda c, n: F.log((c + alpha) / F.greatest(F.lit(n + prior) - c - alpha, F.lit(0.5)))
     w = odds(a, n_a) - odds(b, n_b)
-    z = w / np.sqrt(1 / (a + alpha) + 1 / (b + alpha))
-    return z, w * z**4 / (z**4 + Z**4)
-
-
-def _listed(names: list[str], n: np.ndarray, without: int, stands) -> dict[str, tuple[float, float]]:
-    """Features with their z-score and log-odds, from all folds but ``without``."""
-    some = [f for f in range(FOLDS) if f != without]
-    a, b, docs = (sum(n[:, 3 * f + k] for f in some) for k in range(3))
-    whole = names.index("") if "" in names else None
-    if whole is None or not a[whole] or not b[whole]:
-        return {}
-    z, w = log_odds(a, b, a[whole], b[whole], stands)
-    kept = np.flatnonzero((docs >= DOCS) & (np.abs(w) >= LEAST))
-    return {names[i]: (float(z[i]), float(w[i])) for i in kept.tolist() if names[i]}
+    z = w / F.sqrt(1 / (a + alpha) + 1 / (b + alpha))
+    z4 = z * z * z * z
+    return z, w * z4 / (z4 + F.lit(Z**4))
+
+
+def _listed(counts: DataFrame, stands) -> list[dict[str, tuple[float, float]]]:
+    """Features with their z-score and log-odds, from all folds but each, and from all folds; the driver gets those that weigh something."""
+    words = counts.where("feature = ''").first()
+    columns, some = [], F.lit(False)
+    for without in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != without]
+        n_a, n_b = (float(sum(words[f"n{3 * f + k}"] for f in folds)) if words else 0.0 for k in (0, 1))
+        if not n_a or not n_b:
+            columns += [F.lit(0.0).alias(f"z{without}"), F.lit(0.0).alias(f"w{without}")]
+            continue
+        a, b, docs = (sum((F.col(f"n{3 * f + k}") for f in folds), F.lit(0)).cast("double") for k in range(3))
+        z, w = log_odds(a, b, n_a, n_b, stands)
+        w = F.when((docs >= DOCS) & (F.abs(w) >= LEAST), w).otherwise(0.0)
+        columns += [z.alias(f"z{without}"), w.alias(f"w{without}")]
+        some = some | (F.col(f"w{without}") != 0)
+    rows = counts.where("feature <> ''").select("feature", *columns).where(some).orderBy("feature").collect()
+    return [{r["feature"]: (r[f"z{f}"], r[f"w{f}"]) for r in rows if r[f"w{f}"]} for f in range(FOLDS + 1)]
 
 
 def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Fit to rows (text string, y 0/1, fold int), a bounded number; one of class y stands for ``stands[y]`` labelled texts."""
     spark = taught.sparkSession
-    counts = _feature_counts(taught).toArrow()
-    names = counts.column("feature").to_pylist()
-    n = np.stack([counts.column(c).to_numpy() for c in counts.column_names[1:]], axis=1).astype(np.float64)
     # one more than there are folds: the last leaves none out
-    lists = spark.sparkContext.broadcast([_listed(names, n, f, stands) for f in range(FOLDS + 1)])
+    found = _listed(durable(_feature_counts(taught)), stands)
+    lists = spark.sparkContext.broadcast(found[:FOLDS])
 
     def each(describe, schema: str, drift: float) -> DataFrame:
         def run(batches):
-            weights = [Weights(x, drift) for x in lists.value[:FOLDS]]
+            weights = [Weights(x, drift) for x in lists.value]
             for batch in pieces(batches):
                 rows = zip(string_column(batch, "text"), batch.column("y").to_pylist(), batch.column("fold").to_pylist())
                 made = describe(weights, rows)
@@ -264,7 +270,7 @@ def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
     log_k = _location([(r["n"], r["best"]) for r in seen if r["y"] == 0], rate)
     total = sum(stands[r["y"]] for r in seen)
     share = sum(stands[1] for r in seen if r["y"]) / total if seen else 0.0
-    model = Model(Weights(lists.value[FOLDS], drift), rate, log_k, np.array([0.0]), np.array([share]))
+    model = Model(Weights(found[FOLDS], drift), rate, log_k, np.array([0.0]), np.array([share]))
     if not seen or not 0 < share < 1:
         return model
     rule = Model(Weights({}, drift), rate, log_k, np.array([0.0]), np.array([share]))
@@ -276,11 +282,12 @@ def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
             out.append((y, rule.evidence(k, [x for _, _, x in segments])))
         return out
 
-    found = each(evidence, "y long, evidence double", drift).collect()
-    held = np.array([stands[r["y"]] for r in found])
-    ys = np.array([r["y"] for r in found], float)
+    held_out = each(evidence, "y long, evidence double", drift).collect()
+    lists.destroy()
+    held = np.array([stands[r["y"]] for r in held_out])
+    ys = np.array([r["y"] for r in held_out], float)
     # ties form one point
-    points, where = np.unique(np.array([r["evidence"] for r in found]), return_inverse=True)
+    points, where = np.unique(np.array([r["evidence"] for r in held_out]), return_inverse=True)
     weight = np.bincount(where, held)
     part = np.bincount(where, ys * held) / weight
     fitted = pool_adjacent(np.concatenate([[1.0], weight, [1.0]]), np.concatenate([[0.0], part, [1.0]]))[1:-1]

@@ -655,9 +655,15 @@ def test_pool_adjacent():
     assert common.pool_adjacent(np.ones(5), np.array([1.0, 3, 2, 2, 5])).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 5])
 
 
-def test_log_odds_are_signed_and_shrunk():
-    z, w = toxicity.log_odds(np.array([50.0, 5, 5, 0]), np.array([5.0, 50, 5, 50]), 1000, 1000, (1.0, 1.0))
+def test_log_odds_are_signed_and_shrunk(spark):
+    rows = spark.createDataFrame([(50.0, 5.0), (5.0, 50.0), (5.0, 5.0), (0.0, 50.0)], "a double, b double").coalesce(1)
+    z, w = zip(*rows.select(*toxicity.log_odds(F.col("a"), F.col("b"), 1000.0, 1000.0, (1.0, 1.0))).collect())
     assert w[0] > 0.5 and w[1] < -0.5 and abs(w[2]) < 1e-9 and w[3] < w[1] and np.sign(z).tolist() == np.sign(w).tolist()
+    # by definition: both classes' log-odds with the pooled frequency times the smaller class as prior counts
+    alpha = 1000 * 55 / 2000
+    one = np.log((50 + alpha) / (2000 - 50 - alpha)) - np.log((5 + alpha) / (2000 - 5 - alpha))
+    score = one / np.sqrt(1 / (50 + alpha) + 1 / (5 + alpha))
+    assert z[0] == pytest.approx(score) and w[0] == pytest.approx(one * score**4 / (score**4 + toxicity.Z**4))
 
 
 def test_toxicity_of_long_repeated_and_tied_texts(spark):
