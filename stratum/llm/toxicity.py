@@ -196,34 +196,41 @@ def _feature_counts(taught: DataFrame) -> DataFrame:
     return sums.where((docs >= DOCS) | (F.col("feature") == ""))
 
 
-def log_odds(a, b, n_a: float, n_b: float, stands: tuple[float, float]) -> tuple:
-    """(z, shrunk log-odds), as columns, of features with counts a and b (columns) among n_a and n_b words."""
-    prior = float(min(n_a, n_b))
-    alpha = F.lit(prior) * F.greatest(F.lit(float(stands[1])) * a + F.lit(float(stands[0])) * b, F.lit(0.5)) / F.lit(float(stands[1] * n_a + stands[0] * n_b))
-    odds = lambda c, n: F.log((c + alpha) / F.greatest(F.lit(n + prior) - c - alpha, F.lit(0.5)))
+def log_odds(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float, stands: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(z, shrunk log-odds) of features with counts a and b among n_a and n_b words."""
+    prior = min(n_a, n_b)
+    alpha = prior * np.maximum(stands[1] * a + stands[0] * b, 0.5) / (stands[1] * n_a + stands[0] * n_b)
+    odds = lambda c, n: np.log((c + alpha) / np.maximum(n + prior - c - alpha, 0.5))
     w = odds(a, n_a) - odds(b, n_b)
-    z = w / F.sqrt(1 / (a + alpha) + 1 / (b + alpha))
-    z4 = z * z * z * z
-    return z, w * z4 / (z4 + F.lit(Z**4))
+    z = w / np.sqrt(1 / (a + alpha) + 1 / (b + alpha))
+    return z, w * z**4 / (z**4 + Z**4)
 
 
 def _listed(counts: DataFrame, stands) -> list[dict[str, tuple[float, float]]]:
     """Features with their z-score and log-odds, from all folds but each, and from all folds; the driver gets those that weigh something."""
     words = counts.where("feature = ''").first()
-    columns, some = [], F.lit(False)
-    for without in range(FOLDS + 1):
-        folds = [f for f in range(FOLDS) if f != without]
-        n_a, n_b = (float(sum(words[f"n{3 * f + k}"] for f in folds)) if words else 0.0 for k in (0, 1))
-        if not n_a or not n_b:
-            columns += [F.lit(0.0).alias(f"z{without}"), F.lit(0.0).alias(f"w{without}")]
-            continue
-        a, b, docs = (sum((F.col(f"n{3 * f + k}") for f in folds), F.lit(0)).cast("double") for k in range(3))
-        z, w = log_odds(a, b, n_a, n_b, stands)
-        w = F.when((docs >= DOCS) & (F.abs(w) >= LEAST), w).otherwise(0.0)
-        columns += [z.alias(f"z{without}"), w.alias(f"w{without}")]
-        some = some | (F.col(f"w{without}") != 0)
-    rows = counts.where("feature <> ''").select("feature", *columns).where(some).orderBy("feature").collect()
-    return [{r["feature"]: (r[f"z{f}"], r[f"w{f}"]) for r in rows if r[f"w{f}"]} for f in range(FOLDS + 1)]
+    if words is None:
+        return [{}] * (FOLDS + 1)
+    total = np.array(words[1:], np.float64)
+
+    def weigh(batches):
+        for batch in batches:
+            n = np.stack([batch.column(k + 1).to_numpy() for k in range(3 * FOLDS)], axis=1).astype(np.float64)
+            z, w = np.zeros((2, FOLDS + 1, len(n)))
+            for without in range(FOLDS + 1):
+                some = [f for f in range(FOLDS) if f != without]
+                a, b, docs = (n[:, [3 * f + k for f in some]].sum(1) for k in range(3))
+                n_a, n_b = (total[[3 * f + k for f in some]].sum() for k in (0, 1))
+                if n_a and n_b:
+                    z[without], w[without] = log_odds(a, b, n_a, n_b, stands)
+                    w[without, (docs < DOCS) | (np.abs(w[without]) < LEAST)] = 0
+            kept = np.flatnonzero((w != 0).any(0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(kept)), *(pa.array(list(x[:, kept].T), pa.list_(pa.float64())) for x in (z, w))], ["feature", "z", "w"]
+            )
+
+    rows = counts.where("feature <> ''").mapInArrow(tidied(weigh), "feature string, z array<double>, w array<double>").orderBy("feature").collect()
+    return [{r["feature"]: (r["z"][f], r["w"][f]) for r in rows if r["w"][f]} for f in range(FOLDS + 1)]
 
 
 def fit(taught: DataFrame, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
