@@ -35,7 +35,7 @@ from .common import byte_hashes, grouped, importable, kept, pieces, string_colum
 FREQUENT = 65_536
 SUMMARY = 8_192
 UNIT = 48
-CACHED = 300_000
+CACHED = 500_000
 SLICE = 1 << 18
 GROUP = 1 << 16
 LIMIT = 1024
@@ -141,7 +141,7 @@ class Units:
         self.pool = np.zeros(1 << 18, "<u4")
         # bytes of every entry, one after another
         self.spelt, self.begin, self.long = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.written = 0
+        self.head, self.written = np.zeros(1 << 16, np.uint64), 0  # the first eight bytes of every entry
         if self.first is not None and len(self.first[1]):
             data = np.frombuffer(self.first[0] + b" ", np.uint8)
             ends = np.flatnonzero(data == 32)
@@ -157,6 +157,7 @@ class Units:
         size = ends - starts
         self.begin = _room(self.begin, at, self.written + np.cumsum(size) - size)
         self.long = _room(self.long, at, size)
+        self.head = _room(self.head, at, _heads(data, starts, size))
         self.spelt = _room(self.spelt, self.written, data[_places(starts, size)])
         self.written += int(size.sum())
         self.number = _room(self.number, at, numbers)
@@ -270,12 +271,13 @@ class Units:
     def _other(self, entry, data, starts, ends) -> np.ndarray:
         """Units whose entry holds other bytes."""
         size = ends - starts
-        held = self.long[entry]
-        wrong = held != size
-        size = np.where(wrong, 0, size)
-        unlike = np.flatnonzero(data[_places(starts, size)] != self.spelt[_places(self.begin[entry], size)])
-        if len(unlike):
-            wrong[np.searchsorted(np.cumsum(size), unlike, "right")] = True
+        wrong = (self.head[entry] != _heads(data, starts, size)) | (self.long[entry] != size)
+        more = np.flatnonzero((size > 8) & ~wrong)  # the rest of longer ones
+        if len(more):
+            size = size[more] - 8
+            unlike = np.flatnonzero(data[_places(starts[more] + 8, size)] != self.spelt[_places(self.begin[entry[more]] + 8, size)])
+            if len(unlike):
+                wrong[more[np.searchsorted(np.cumsum(size), unlike, "right")]] = True
         return np.flatnonzero(wrong)
 
     def _learn(self, data, starts, ends, h, new, odd: set[int]) -> None:
@@ -291,6 +293,16 @@ class Units:
             self._enter(h[alone], np.array([len(x) for x in each]), None if self.counts else np.concatenate(each), data, starts[alone], ends[alone])
 
 
+_mask = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _heads(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight first bytes of each data[start:start + size], as a number."""
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", whole, strides=(1,))
+    return eight[starts] & _mask[np.minimum(size, 8)]
+
+
 def _places(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places start, ..., start + size - 1 of each, in one array."""
     total = np.cumsum(size, dtype=np.int64)
