@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..storage import durable, purge, shared_folder  # noqa: F401
 
@@ -39,6 +41,14 @@ def importable(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a bounded number of rows; made from Arrow, it starts no Python workers of its own on the executors."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [()] * len(kind)
+    made = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, kind)], kind)
+    return spark.createDataFrame(made, schema)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an integer column as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -76,7 +76,6 @@ ROUNDS = 3
 #: Nodes with one centre that are joined as one row.
 CHUNK = 64
 
-_odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _blank = re.compile(rb"[\x20\x09-\x0d]")
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True

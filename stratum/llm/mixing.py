@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, small_table, table
 
 MARGINS = ("source", "lang", "topic")
 ALPHA = 0.5
@@ -67,7 +67,7 @@ def _targets(cells: DataFrame, given: dict[str, dict[str, float]] | None, alpha:
     for m in MARGINS:
         present = cells.groupBy(m).agg(F.sum("t").alias("t")).where("t > 0")
         if given and m in given:
-            wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given[m].items()], f"`{m}` string, w double")
+            wanted = small_table(cells.sparkSession, [(k, float(v)) for k, v in given[m].items()], f"`{m}` string, w double")
             share = present.join(wanted, m).select(m, "w")
         else:
             share = present.select(m, F.pow(F.col("t").cast("double"), F.lit(alpha)).alias("w"))
@@ -106,7 +106,7 @@ def _rake_local(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, go
         whole, rest = whole + rows[i][3], rest - x[i]
     report |= {"rounds": done, "residual": residual, "factor": factor}
     made = [(*r[:3], min(1.0, v * factor / r[3]) if r[3] > 0 else 1.0) for r, v in zip(rows, x)]
-    return cells.sparkSession.createDataFrame(made, "source string, lang string, topic string, probability double")
+    return small_table(cells.sparkSession, made, "source string, lang string, topic string, probability double")
 
 
 def _rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, goal_sum: float, report: dict) -> DataFrame:

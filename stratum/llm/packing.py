@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import durable, importable, pieces, string_column, table, tidied
+from .common import durable, importable, pieces, small_table, string_column, table, tidied
 from .tokens import worker
 
 CAPACITY = 2048
@@ -206,7 +206,7 @@ def pack(
     before = Window.partitionBy("length").orderBy("_dealt").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.select("length", "_dealt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     names = "length long, _at long, _n long, _first long, _per long, _offset long"
-    placed = spark.createDataFrame(runs, names)
+    placed = small_table(spark, runs, names)
     rank = F.col("_base") + F.col("_rank")
     seat = rank - F.col("_at")
     return (
