@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import lzma
+import threading
 import zlib
 
 import pyarrow as pa
@@ -24,14 +25,22 @@ ALGORITHMS = ("gzip", "zstd", "brotli", "xz")
 
 
 class _Zstd:
-    """One streaming frame without its content size; all levels but 19 flush a block before the end."""
+    """One streaming frame without its content size; all levels but 19 flush a block before the end.
 
-    def __init__(self, level: int):
+    Without a content size, level 19 takes tables of some 90 MB, whatever the
+    stream; clearing new ones costs more than a small file's compression.
+    ``kept`` holds compressors whose tables serve one stream after another
+    (never two at a time).
+    """
+
+    def __init__(self, level: int, kept: dict):
         import zstandard
 
         self.flush = level != 19
         self.block = zstandard.COMPRESSOBJ_FLUSH_BLOCK
-        self.out = zstandard.ZstdCompressor(level=level).compressobj()
+        if level not in kept:
+            kept[level] = zstandard.ZstdCompressor(level=level)
+        self.out = kept[level].compressobj()
         self.n = 0
 
     def update(self, data: bytes) -> None:
@@ -69,10 +78,10 @@ class _Brotli:
         return pa.Codec("brotli", compression_level=11).compress(b"".join(self.parts)).size
 
 
-def encoder(name: str):
-    """By name: zstd-LEVEL, gzip, xz, brotli."""
+def encoder(name: str, kept: dict | None = None):
+    """By name: zstd-LEVEL, gzip, xz, brotli. ``kept`` lends its compressors to one stream at a time."""
     if name.startswith("zstd-"):
-        return _Zstd(int(name[5:]))
+        return _Zstd(int(name[5:]), {} if kept is None else kept)
     if name == "gzip":
         return _Stream(zlib.compressobj(9, zlib.DEFLATED, 31), flush=True)
     if name == "xz":
@@ -82,8 +91,13 @@ def encoder(name: str):
     raise ValueError(f"no encoder {name}")
 
 
+_thread = threading.local()
+
+
 def compressed_size(data: bytes, name: str = "zstd-19") -> int:
-    one = encoder(name)
+    if not hasattr(_thread, "kept"):
+        _thread.kept = {}
+    one = encoder(name, _thread.kept)
     one.update(data)
     return one.size()
 
@@ -97,7 +111,7 @@ def stream_sizes(files: DataFrame, keys: list[str], order: list[str], encoders:
         return {**dict(zip(keys, key)), "file_count": count, "original_bytes": size, "sha256": digest.hexdigest(), "sizes": [(n, e.size()) for n, e in made.items()]}
 
     def feed(batches):
-        schema = None
+        schema, kept = None, {}
         key, state = None, None
         for batch in batches:
             if schema is None:
@@ -112,7 +126,7 @@ def stream_sizes(files: DataFrame, keys: list[str], order: list[str], encoders:
                 if state is None or own != key:
                     if state is not None:
                         done.append(close(key, state))
-                    key, state = own, [0, 0, hashlib.sha256(), {n: encoder(n) for n in encoders}]
+                    key, state = own, [0, 0, hashlib.sha256(), {n: encoder(n, kept) for n in encoders}]
                 data = content.as_py() or b""
                 state[0] += 1
                 state[1] += len(data)

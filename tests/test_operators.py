@@ -196,6 +196,25 @@ def test_flush_costs_three_bytes_at_other_levels():
     assert streams.compressed_size(data, "zstd-3") == len(plain.compress(data)) + len(plain.flush()) + 3
 
 
+def test_small_streams_share_their_tables(monkeypatch):
+    import zstandard
+
+    rnd = random.Random(5)
+    words = [bytes(rnd.randrange(97, 123) for _ in range(rnd.randrange(2, 9))) for _ in range(300)]
+    texts = [b" ".join(rnd.choices(words, k=k)) for k in (300, 0, 1, 20, 40000, 2, 5000, 300, 12)]
+    texts += [texts[0], bytes(1 << 18), texts[4][1000:]]
+    want = [{n: streams.encoder(n) for n in ("zstd-1", "zstd-19")} for _ in texts]
+    for data, own in zip(texts, want):
+        for e in own.values():
+            e.update(data)
+    want = [[e.size() for e in own.values()] for own in want]
+    made, new = [], zstandard.ZstdCompressor
+    monkeypatch.setattr(zstandard, "ZstdCompressor", lambda **k: made.append(k) or new(**k))
+    monkeypatch.setattr(streams, "_thread", type("", (), {})())
+    assert [[streams.compressed_size(x, n) for n in ("zstd-1", "zstd-19")] for x in texts] == want
+    assert len(made) == 2  # a compressor for each level, not for each file
+
+
 def test_counts_skip_unknown(spark):
     rows = files(spark, [b"a", b"bb"]).unionByName(files(spark, [b""]).withColumn("language", F.lit(None).cast("string")))
     assert ledger.skipped(rows).first()["skipped_file_count"] == 1
