@@ -188,6 +188,38 @@ def test_compression_profile(spark):
     assert r["consensus_ratio"] == (ratios[1] + ratios[2]) / 2 and r["ratio_spread"] == ratios[3] - ratios[0]
 
 
+def test_streams_are_placed_by_cost_and_encoders_side_by_side(spark, monkeypatch):
+    rnd = random.Random(3)
+    texts = [bytes(rnd.choices(b"abcdef \n", k=rnd.randrange(1, 900))) for _ in range(60)]
+    rows = [(None if i % 7 == 0 else f"c{i % 7}", f"{i:04d}", "Rust", i % 2, x * (20 if i % 7 == 3 else 1), len(x)) for i, x in enumerate(texts)]
+    table = spark.createDataFrame([(*r[:4], bytearray(r[4]), r[5]) for r in rows], FILES)
+    names = ["gzip", "brotli", "xz", *(f"zstd-{n}" for n in streams.LEVELS)]
+    sides = streams.lanes(names)
+    assert sorted(sum(sides, [])) == sorted(names) and sides[0] == ["brotli"] and len(sides) == 3
+    want = {}
+    for key in {r[0] for r in rows}:
+        data = b"".join(r[4] for r in rows if r[0] == key)
+        want[key] = (sum(r[0] == key for r in rows), len(data), {n: streams.compressed_size(data, n) for n in names})
+    for most in (streams.PLACED, 2):  # with 2, the other streams are dealt by hash
+        monkeypatch.setattr(streams, "PLACED", most)
+        got = streams.stream_sizes(table.orderBy(F.desc("path")), ["corpus"], ["path"], names).collect()
+        assert {r["corpus"]: (r["file_count"], r["original_bytes"], r["sizes"]) for r in got} == want and len(got) == 7
+        at = streams._dealt(table, ["corpus"], ["path"], [3.7, 3.6, 1.3]).select("corpus", "_lane", F.spark_partition_id().alias("t")).distinct().collect()
+        assert len(at) == 21  # a stream and a lane are in one task
+        first = {r["_lane"]: r["t"] for r in at if r["corpus"] == "c3"}
+        assert sorted(first) == [0, 1, 2] and len(set(first.values())) == 3 and first[0] == 0  # its lanes apart, and the dearest first
+
+
+def test_placing_evens_tasks():
+    at, tasks = streams.places([100, 10, 10, 10, 0], [2.0, 1.0], 4)
+    load = [0.0] * tasks
+    for size, own in zip([100, 10, 10, 10, 0], at):
+        for cost, t in zip([2.0, 1.0], own):
+            load[t] += size * cost
+    assert tasks == 4 and load == sorted(load, reverse=True) and load[:2] == [200, 100] and load[2] - load[3] <= 20
+    assert streams.places([], [1.0], 8) == ([], 1)
+
+
 def test_flush_costs_three_bytes_at_other_levels():
     import zstandard
 
