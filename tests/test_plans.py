@@ -198,14 +198,14 @@ def test_command_line(spark, tree):
         cli.run(spark, ["compare", "https://github.com/o/a", "https://github.com/o/b", "--granularity", "file"])
 
 
-def test_profile_compresses_each_stream_once(spark, monkeypatch, tmp_path):
+def test_profile_and_granular_compress_each_stream_once(spark, monkeypatch, tmp_path):
     from stratum.operators import ledger, streams
 
     kinds = [("p", "Rust", 0), ("p", "Python", 1), ("q", "Rust", 0), ("q", None, None), ("q", "Rust", 0)] * 3
     rows = [(c, f"{i:03d}", lang, o, bytearray(b"fn a() { b(%d) }\n" % i * (i + 1))) for i, (c, lang, o) in enumerate(kinds)]
     files = spark.createDataFrame([(*r, len(r[4]) if r[2] else None) for r in rows], "corpus string, path string, language string, lang_ord int, content binary, size long").cache()
     want = {r["corpus"]: r for r in ledger.overall(files).collect()}
-    fed, sizes = tmp_path / "fed", streams.stream_sizes
+    fed, metric, sizes = tmp_path / "fed", ledger.file_metric, streams.stream_sizes
 
     def counted(table, what):
         def note(batches):
@@ -216,6 +216,7 @@ def test_profile_compresses_each_stream_once(spark, monkeypatch, tmp_path):
 
         return table.mapInArrow(note, table.schema)
 
+    monkeypatch.setattr(ledger, "file_metric", lambda table, keys: metric(counted(table, "file"), keys))
     monkeypatch.setattr(streams, "stream_sizes", lambda *a: counted(sizes(*a), "stream"))
     found = analysis.analyse(files)
     lines = fed.read_text().splitlines()
@@ -224,3 +225,7 @@ def test_profile_compresses_each_stream_once(spark, monkeypatch, tmp_path):
         assert a["overall"] == {k: want[c][k] for k in analysis.METRIC}
         assert a["overall"]["compressed_bytes"] == next(x["compressed_bytes"] for x in a["profile"]["compression"]["zstd_curve"] if x["level"] == 19)
     assert found["q"]["skipped_file_count"] == 3 and found["p"]["skipped_file_count"] == 0
+    one = files.where("corpus = 'p'")
+    made = analysis.granular(one, found["p"], True, False)
+    assert [r["path"] for r in made["files"]] == sorted(r[1] for r in rows if r[0] == "p")
+    assert fed.read_text().splitlines().count("file") == len(made["files"])
