@@ -210,6 +210,29 @@ def test_streams_are_placed_by_cost_and_encoders_side_by_side(spark, monkeypatch
         assert sorted(first) == [0, 1, 2] and len(set(first.values())) == 3 and first[0] == 0  # its lanes apart, and the dearest first
 
 
+def test_corpora_and_languages_are_dealt_together(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(40):
+        text = bytes(rnd.choices(b"abcdef \n", k=rnd.randrange(1, 400) * (20 if i % 4 == 0 else 1)))
+        rows.append((f"c{i % 4}", f"{i:04d}", "AB"[i % 8 // 4], i % 8 // 4, bytearray(text), len(text)))
+    table = spark.createDataFrame(rows, FILES)
+    for most in (streams.PLACED, 2):  # with 2, the other streams are dealt by hash
+        monkeypatch.setattr(streams, "PLACED", most)
+        for profile in (True, False):
+            whole, languages = streams.whole_and_languages(table, profile)
+            alone = streams.compression_profile(table, ["corpus"]) if profile else streams.stream_metric(table, ["corpus"])
+            by = streams.stream_metric(table, ["corpus", "lang_ord", "language"])
+            assert whole.columns == alone.columns and sorted(whole.collect()) == sorted(alone.collect())
+            assert languages.columns == by.columns and sorted(languages.collect()) == sorted(by.collect()) and languages.count() == 8
+    monkeypatch.undo()
+    kinds = table.withColumn("kind", F.explode(F.array(F.lit("corpus"), F.lit("language"))))
+    at = streams._dealt(kinds, ["kind", "corpus"], ["path"], [3.7, 3.6, 1.5], {"corpus": (0, 2), "language": (2, 3)})
+    found = at.select("kind", "corpus", "_lane", F.spark_partition_id().alias("t")).distinct().collect()
+    assert {(r["kind"], r["_lane"]) for r in found} == {("corpus", 0), ("corpus", 1), ("language", 2)} and len(found) == 12
+    assert next(r["t"] for r in found if (r["corpus"], r["_lane"]) == ("c0", 0)) == 0  # the dearest of all kinds begins first
+
+
 def test_placing_evens_tasks():
     at, tasks = streams.places([100, 10, 10, 10, 0], [2.0, 1.0], 4)
     load = [0.0] * tasks

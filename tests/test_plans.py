@@ -7,6 +7,7 @@ import pytest
 from stratum import __main__ as cli
 from stratum import errors
 from stratum.functions import dimensions as d
+from stratum.operators import streams
 from stratum.operators.ledger import NoSourceBytes
 from stratum.plans import analysis, render, state
 from stratum.sources.repository import Snapshot
@@ -57,6 +58,13 @@ def test_granular(spark, tree):
     assert analysis.granular_path(spark, root, False, True)["functions"] == []
 
 
+def test_streams_of_an_analysis_are_one_job(spark, tree, monkeypatch):
+    calls, made = [], streams.stream_sizes
+    monkeypatch.setattr(streams, "stream_sizes", lambda *a, **b: calls.append(a[1]) or made(*a, **b))
+    analysis.analyse_path(spark, tree({"a.rs": "fn a() {}\n", "b.py": "x = 1\n"}))
+    assert len(calls) == 1
+
+
 def test_relation(spark, tree):
     line = "pub fn item() -> usize { 1 }\n" * 512
     root = tree({"a.rs": line, "b.rs": line, "c.txt": "x"})
