@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import threading
 
 import pytest
 
@@ -65,6 +66,15 @@ def test_streams_of_an_analysis_are_one_job(spark, tree, monkeypatch):
     assert len(calls) == 1
 
 
+def test_files_are_made_beside_streams(spark, tree, monkeypatch):
+    root = tree({"a.rs": "fn a() {}\n", "b.py": "x = 1\n"})
+    want = analysis.granular(analysis.read_tree(spark, root, "tree"), analysis.analyse_path(spark, root), True, True)
+    both = threading.Barrier(2)
+    for module, name in ((streams, "stream_sizes"), (analysis.ledger, "by_file")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **b: both.wait(60) * 0 or f(*a, **b))
+    assert analysis.granular_path(spark, root, True, True) == want
+
+
 def test_relation(spark, tree):
     line = "pub fn item() -> usize { 1 }\n" * 512
     root = tree({"a.rs": line, "b.rs": line, "c.txt": "x"})
